@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlattice.session import ship_package
+
 #: Largest stretch of text, in bytes, that one vectorised step works on (scratch memory is about 60 times that).
 CHUNK_BYTES = 2 << 20
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): the two columns that text operators read; a null text is empty."""
+    ship_package(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

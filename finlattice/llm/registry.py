@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from finlattice.llm import exact_dedup, simhash_dedup
+from finlattice.llm import bpe, chat_format, embedding_dedup, exact_dedup, packing, secret_scan, simhash_dedup
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
+    "op5_packing": packing.op5_packing,
+    "op6_chat": chat_format.op6_chat,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_secrets": secret_scan.op8_secrets,
+    "op9_embeddings": embedding_dedup.op9_embeddings,
     "op10_simhash": simhash_dedup.op10_simhash,
 }
-ORACLE = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLE = {"op6_chat": chat_format.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_embeddings": embedding_dedup.OP9_SQL}
