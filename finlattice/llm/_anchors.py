@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlattice.llm._common import BLOB, blob_batch, by_bucket, mixed, offsets, packed, partitions, unpacked
+from finlattice.llm._common import BLOB, blob_batch, by_bucket, mixed, offsets, packed, partitions, spread, unpacked
 
 P = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of an anchor at most: text of one repeated symbol would otherwise be a single endless run.
@@ -45,24 +45,33 @@ def minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(low[:n], low[w - k : w - k + n])
 
 
-def anchors(units: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, start, run) for texts laid end to end; start counts units within a text."""
+def anchors(units: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(hash, text, start, run, again) for texts laid end to end; start counts units within a text.
+
+    again: the least gram stands more than once among an anchor's own windows, so that one of them may repeat another.
+    """
     none = np.zeros(0, np.int64)
+    nothing = none.astype(np.uint64), none, none, none, none.astype(bool)
     if len(units) < window:
-        return none.astype(np.uint64), none, none, none
-    low = minima(mixed(grams(units, gram)), window - gram + 1)
+        return nothing
+    hashes = mixed(grams(units, gram))
+    low = minima(hashes, window - gram + 1)
     begin = offsets(lengths)
     text = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - window + 1))
     at = np.concatenate([np.arange(b, max(b, e - window + 1)) for b, e in zip(begin[:-1], begin[1:], strict=True)] or [none])
     if not len(at):
-        return none.astype(np.uint64), none, none, none
+        return nothing
     h = low[at]
     new = np.ones(len(at), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.nonzero(new)[0]
     since = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     first = np.nonzero(since % LONGEST_RUN == 0)[0]
-    return h[first], text[first], at[first] - begin[text[first]], np.diff(np.append(first, len(at)))
+    run = np.diff(np.append(first, len(at)))
+    width = run + window - gram
+    equal = hashes[spread(at[first], width)] == np.repeat(h[first], width)
+    again = np.add.reduceat(equal, offsets(width)[:-1], dtype=np.int64) > 1
+    return h[first], text[first], at[first] - begin[text[first]], run, again
 
 
 def _groups(h: np.ndarray, who: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +121,13 @@ def _candidates(h, who, th, start, run) -> pa.RecordBatch:
 
 
 def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
-    """Blobs of the anchors (h, id, th, start, run) that a task holds."""
-    h, who, th, start, run = map(np.concatenate, zip(*held, strict=True))
+    """Blobs of the anchors (h, id, th, start, run, again) that a task holds."""
+    h, who, th, start, run, again = map(np.concatenate, zip(*held, strict=True))
     order = np.argsort(h, kind="stable")
-    h, who, th, start, run = h[order], who[order], th[order], start[order], run[order]
+    h, who, th, start, run, again = (a[order] for a in (h, who, th, start, run, again))
     group, several = _groups(h, who, within)
+    if within:
+        several |= np.bincount(group, again, len(several)) > 0
     done = several[group]
     first = np.nonzero(np.append(True, h[1:] != h[:-1]))[0][several]
     zero = lambda n: np.zeros(n, np.int64)

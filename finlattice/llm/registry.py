@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from finlattice.llm import bpe, chat_format, embedding_dedup, exact_dedup, packing, secret_scan, simhash_dedup, suffix_dedup, toxicity
+from finlattice.llm import bpe, chat_format, embedding_dedup, exact_dedup, packing, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op5_packing": packing.op5_packing,
     "op6_chat": chat_format.op6_chat,

@@ -208,10 +208,10 @@ def _find(n: int):
         names, lengths, chunks, total = [], [], [], 0
 
         def work():
-            h, text, start, count = A.anchors(_TABLE[np.frombuffer(b"".join(chunks), np.uint8)], np.array(lengths, np.int64), WINDOW, GRAM)
+            h, text, start, count, again = A.anchors(_TABLE[np.frombuffer(b"".join(chunks), np.uint8)], np.array(lengths, np.int64), WINDOW, GRAM)
             who = np.array([x[0] for x in names], np.int64)[text]
             th = np.array([x[1] for x in names], np.int64)[text]
-            return h, who, th, start + np.array([x[2] for x in names], np.int64)[text], count
+            return h, who, th, start + np.array([x[2] for x in names], np.int64)[text], count, again
 
         for batch in batches:
             for who, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
