@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finlattice.session import ship_package
@@ -59,6 +59,15 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def only(docs: DataFrame, picked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose (doc_id, th = text hash) is in picked; one where equal rows repeat. Other columns' names are free."""
+    null = F.lit(-(1 << 63))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), null).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
+    keys = picked.select(F.coalesce("doc_id", null).alias("id"), "th").distinct().hint("shuffle_hash")
+    nth = F.row_number().over(Window.partitionBy("id", "th").orderBy("id"))
+    return rows.join(keys, ["id", "th"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
 def u64(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A bigint column without nulls, as unsigned."""
     return column.to_numpy(zero_copy_only=False).view(np.uint64)

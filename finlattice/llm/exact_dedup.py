@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlattice.llm._common import BLOB, blob_batch, documents, packed, partitions, texts, u64, unpacked
+from finlattice.llm._common import BLOB, blob_batch, documents, only, packed, partitions, texts, u64, unpacked
 
 #: Bits of a fingerprint's quotient; the other 48 are its remainder.
 QUOTIENT_BITS = 16
@@ -94,7 +94,7 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp") -> DataFr
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, th (the text's fingerprint).
 
     Texts are equal when their bytes are; a null text counts as empty. The largest doc_id of a
     group stays (null ids are smaller than all; if a group has no other, keep_id is null). Of repeated rows that
@@ -110,7 +110,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .where("group_size > 1")
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
-    rows = t.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).groupBy("doc_id", "sha").agg(F.count("*").alias("n"))
+    rows = t.select("doc_id", "fp", F.unhex(F.sha2("text", 256)).alias("sha")).groupBy("doc_id", "sha", "fp").agg(F.count("*").alias("n"))
     out = rows.join(groups, "sha", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -120,11 +120,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("fp").alias("th"),
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without exact copies: of equal texts the row with the largest doc_id stays."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    return only(docs, kept.select("doc_id", "th"), id_col, text_col)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(documents(spark, sf_dir))
+    return exact_duplicates(documents(spark, sf_dir)).drop("th")
 
 
 OP7_SQL = """

@@ -88,6 +88,43 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, stored: Dat
     return spans_by_path(docs, findings if stored is None else findings.unionByName(stored).distinct(), id_col, text_col)
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each run of overlapping spans (start, kind, end) replaced by a mark that names the first one's kind."""
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]} removed]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, all columns, with every secret masked; length_col, where there is one, follows the text. All rows stay."""
+    findings, _ = scan_unseen(docs, empty_ledger(docs.sparkSession), id_col, text_col)
+    found = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start_at", "kind", "end_at"))).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("blob"))
+    joined = rows.join(found.hint("shuffle_hash"), "blob", "left").select("row", "spans")
+    names, types = docs.columns, docs.schema
+
+    def run(batches):
+        for b in batches:
+            columns = dict(zip(names, b.column(0).flatten(), strict=True))
+            hit = [i for i, s in enumerate(b.column(1)) if s.is_valid]
+            if hit:
+                text = columns[text_col].to_pylist()
+                for i in hit:
+                    text[i] = masked(text[i], [(s["start_at"], s["kind"], s["end_at"]) for s in b.column(1)[i].as_py()])
+                if length_col in columns:
+                    kind, size = columns[length_col].type, columns[length_col].to_pylist()
+                    for i in hit:
+                        size[i] = len(text[i])
+                    columns[length_col] = pa.array(size, kind)
+                columns[text_col] = pa.array(text, columns[text_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.mapInArrow(run, types)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(named, s["kind"] + 1), s["start_at"].cast("string"), s["end_at"].cast("string"))), ",")

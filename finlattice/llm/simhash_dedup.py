@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlattice.llm._common import BLOB, blob_batch, by_bucket, documents, mixed, partitions, texts, u64, unpacked, unsigned_hex, written
+from finlattice.llm._common import BLOB, blob_batch, by_bucket, documents, mixed, only, partitions, texts, u64, unpacked, unsigned_hex, written
 from finlattice.llm._graph import components, stars
 
 SEED = 42
@@ -30,14 +30,14 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of each row."""
+    """(doc_id, th, fp) of each row: th is a hash of the text, which with the id names a row; fp the SimHash."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1).cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def linked(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id (the smallest doc_id reachable over links of at most 3 bits).
+    """One row per document: doc_id, fingerprint, component_id, th (hash of the text). component_id is the smallest doc_id reachable over links of at most 3 bits.
 
     A text without words, empty and null ones among them, has fingerprint zero and is linked like any other; documents that share a
     fingerprint, repeated rows too, are linked. Null ids get a component like other rows but never name one unless it has no other.
@@ -138,7 +138,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id", "th")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each component the row that names it stays (of several with its id, that with the least text hash)."""
+    classes = near_duplicates(docs, id_col, text_col)
+    named = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("th").alias("th"))
+    return only(docs, named.select(F.col("component_id").alias("doc_id"), "th"), id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlattice.llm._common import documents, texts
+from finlattice.session import ship_package
 
 #: Labelled rows that a model is learned from at most: those whose ids have the least hashes. The one bound here; scores read all rows.
 LABELLED = 20_000
@@ -219,6 +220,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return evidence(texts(docs, id_col, text_col), model.lexicon).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"))
 
 
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score under limit; texts are read where they stand, and nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        reader = Reader(model.lexicon)
+        for b in batches:
+            e = np.array([reader.evidence(s.as_py() or "") for s in b.column(at)]).reshape(-1, 3)
+            yield b.filter(pa.array(model.score(e) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
