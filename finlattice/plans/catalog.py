@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from finlattice.plans import derivation, lines, quality, search, state  # noqa: F401  each registers its queries
+from finlattice.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
