@@ -19,18 +19,19 @@ P = np.uint64(0x9E3779B97F4A7C15)
 LONGEST_RUN = 64
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
-CANDIDATES = "id bigint, th bigint, h bigint, start bigint, run int"
+#: place is start * LONGEST_RUN + run - 1.
+CANDIDATES = "id bigint, th bigint, place bigint"
 
 
 def grams(units: np.ndarray, m: int, p: np.uint64 = P) -> np.ndarray:
-    """Polynomial hash of each m successive units (64-bit, wrapping), by doubling."""
+    """Polynomial hash of each m successive units along the last axis (64-bit, wrapping), by doubling."""
     h, length = units, 1
     for bit in bin(m)[3:]:
         power = np.uint64(pow(int(p), length, 1 << 64))
-        h = h[:-length] * power + h[length:]
+        h = h[..., :-length] * power + h[..., length:]
         length *= 2
         if bit == "1":
-            h = h[:-1] * p + units[length : length + len(h) - 1]
+            h = h[..., :-1] * p + units[..., length : length + h.shape[-1] - 1]
             length += 1
     return h
 
@@ -94,58 +95,59 @@ def repeated_anchors(found: DataFrame, within: bool) -> DataFrame:
     n = 2 * partitions(found.sparkSession)
 
     def match(batches):
-        open_, decided = {}, []
+        open_: dict[int, list] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts = unpacked(blob.as_buffer())
-                if len(parts) == 6:
-                    open_.setdefault(b, []).append(parts)
-                else:
+                if len(parts) == 4:
                     yield _candidates(*parts)
+                else:
+                    open_.setdefault(b, []).append(parts)
         for b in list(open_):
-            h, who, th, start, run, witness = map(np.concatenate, zip(*open_.pop(b), strict=True))
-            if not len(h):
-                continue
+            high, low, who, th, start, run, witness = map(np.concatenate, zip(*open_.pop(b), strict=True))
+            h = high.astype(np.uint64) << np.uint64(8) | low
             order = np.argsort(h, kind="stable")
             h, who, th, start, run, witness = (a[order] for a in (h, who, th, start, run, witness))
             group, several = _groups(h, who, within)
             several |= np.bincount(group, witness, len(several)) > 0
             yes = several[group] & (witness == 0)
-            yield _candidates(h[yes], who[yes], th[yes], start[yes], run[yes])
+            yield _candidates(who[yes], th[yes], start[yes], run[yes])
 
     return found.repartition(n, "bucket").mapInArrow(match, CANDIDATES)
 
 
-def _candidates(h, who, th, start, run) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(th), pa.array(h.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(run.astype(np.int32))], ["id", "th", "h", "start", "run"])
+def _candidates(who, th, start, run) -> pa.RecordBatch:
+    place = start.astype(np.int64) * LONGEST_RUN + run - 1
+    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(th.astype(np.int64)), pa.array(place)], ["id", "th", "place"])
 
 
 def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
-    """Blobs of the anchors (h, id, th, start, run, again) that a task holds."""
+    """Blobs of the anchors (h, id, th, start, run, again) that a task holds.
+
+    Of a hash its first 40 bits travel, beside the bucket that all 64 choose; a chance match only makes a candidate.
+    """
     h, who, th, start, run, again = map(np.concatenate, zip(*held, strict=True))
-    order = np.argsort(h, kind="stable")
-    h, who, th, start, run, again = (a[order] for a in (h, who, th, start, run, again))
-    group, several = _groups(h, who, within)
+    by_hash = np.argsort(h, kind="stable")
+    group, several = _groups(h[by_hash], who[by_hash], within)
     if within:
-        several |= np.bincount(group, again, len(several)) > 0
-    done = several[group]
-    first = np.nonzero(np.append(True, h[1:] != h[:-1]))[0][several]
-    zero = lambda n: np.zeros(n, np.int64)
-    alone = ~done
-    # Back in document order within a bucket: starts then rise, and compress.
-    order = np.argsort(order[alone], kind="stable")
-    columns = [a[alone][order] for a in (h, who, th)] + [start[alone][order].astype(np.uint32), run[alone][order].astype(np.uint8), np.zeros(alone.sum(), np.uint8)]
-    seen = [h[first], zero(len(first)), zero(len(first)), zero(len(first)).astype(np.uint32), zero(len(first)).astype(np.uint8), np.ones(len(first), np.uint8)]
-    columns = [np.concatenate(p) for p in zip(columns, seen, strict=True)]
-    rows = by_bucket((columns[0] % np.uint64(n)).astype(np.int64), n, columns)
+        several |= np.bincount(group, again[by_hash], len(several)) > 0
+    done = np.empty(len(h), bool)
+    done[by_hash] = several[group]
+    alone = ~done  # in document order: within a bucket ids and starts rise, and compress
+    witness = h[by_hash][np.nonzero(np.append(True, np.diff(group) > 0))[0][several]]
+    zero = np.zeros(len(witness), np.int64)
+    keys = np.concatenate([h[alone], witness])
+    join = lambda a, kind: np.concatenate([a[alone], zero]).astype(kind)
+    columns = [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8), join(who, np.int64), join(th, np.uint32), join(start, np.uint32), join(run, np.uint8), (np.arange(len(keys)) >= alone.sum()).astype(np.uint8)]
+    rows = by_bucket((keys % np.uint64(n)).astype(np.int64), n, columns)
     if done.any():
-        rows += by_bucket((mixed(who[done].view(np.uint64)) % np.uint64(n)).astype(np.int64), n, [h[done], who[done], th[done], start[done].astype(np.uint32), run[done].astype(np.uint8)])
+        rows += by_bucket((mixed(who[done].view(np.uint64)) % np.uint64(n)).astype(np.int64), n, [who[done], th[done].astype(np.uint32), start[done].astype(np.uint32), run[done].astype(np.uint8)])
     return blob_batch(rows)
 
 
 def gathered(candidates: DataFrame) -> DataFrame:
-    """(id, th, places array<struct<start, run, h>>): candidates by document; as many as the document has, at most."""
-    return candidates.groupBy("id", "th").agg(F.collect_list(F.struct("start", "run", "h")).alias("places"))
+    """(id, th, places array<bigint>): candidates by document; as many as the document has, at most."""
+    return candidates.groupBy("id", "th").agg(F.collect_list("place").alias("places"))
 
 
 __all__ = ["BLOB", "CANDIDATES", "HELD", "anchors", "gathered", "grams", "packed", "repeated_anchors", "sent"]

@@ -155,7 +155,7 @@ def _cut(n: int):
         for b in range(n):
             if (part := order[cut[b] : cut[b + 1]]).size:
                 p = at[part]
-                out.append((b, packed([h[p], who[p], th[p], start[p].astype(np.uint32), run[part].astype(np.uint16), edge[spread(p, run[part])]])))
+                out.append((b, packed([h[p], who[p], th[p].astype(np.uint32), start[p].astype(np.uint32), run[part].astype(np.uint8), edge[spread(p, run[part])]])))
         if done:
             out += by_bucket((mixed(done[0].view(np.uint64)) % np.uint64(n)).astype(np.int64), n, done)
         return blob_batch(out)
@@ -164,12 +164,12 @@ def _cut(n: int):
         held, size = [], 0
         for batch in batches:
             for who, th, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                edge, v = edges(word_hashes(text.as_buffer().to_pybytes())), places.values
-                begin, count, h = v.field(0).to_numpy(), v.field(1).to_numpy().astype(np.int64), v.field(2).to_numpy().view(np.uint64)
-                order = np.argsort(begin, kind="stable")
-                begin, count, h = begin[order], count[order], h[order]
+                words = word_hashes(text.as_buffer().to_pybytes())
+                place = np.sort(places.values.to_numpy())
+                begin, count = place // A.LONGEST_RUN, place % A.LONGEST_RUN + 1
+                h = A.minima(mixed(A.grams(words, GRAM)), K - GRAM + 1)[begin]
                 at = spread(begin, count)
-                held.append((np.repeat(h, count), np.full(len(at), who), np.full(len(at), th), at, edge[at]))
+                held.append((np.repeat(h, count), np.full(len(at), who), np.full(len(at), th), at, edges(words)[at]))
                 size += len(at)
                 if size >= HELD_EDGES:
                     yield flush(held)
@@ -195,7 +195,7 @@ def _decide(batches):
                 parts.setdefault(b, []).append(got)
     for b in list(parts):
         h, who, th, start, run, edge = map(np.concatenate, zip(*parts.pop(b), strict=True))
-        run = run.astype(np.int64)
+        run, th = run.astype(np.int64), th.astype(np.int64)
         wide = [np.repeat(a, run) for a in (h, who, th)]
         done, _ = _settled(wide[0], edge, wide[1], wide[2], spread(start.astype(np.int64), run))
         if done:

@@ -96,18 +96,29 @@ def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap:
     return tuple(columns.read())
 
 
-def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray, folder: str) -> list[tuple[int, int]]:
+def anchor_of(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The least gram hash of the window at each place: what all windows of a segment share."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(begin), 1 << 14):
+        first = text[begin[at : at + (1 << 14), None] + np.arange(WINDOW)]
+        out.append(mixed(A.grams(_TABLE[first], GRAM)).min(axis=1))
+    return np.concatenate(out)
+
+
+def repeated_windows(segments: list[bytes], owner: np.ndarray, folder: str) -> list[tuple[int, int]]:
     """(segment, offset) of the windows that also stand in a segment of a smaller owner.
 
-    group: segments whose windows can be equal share it. Windows whose hash stands with one owner alone are left out before
+    Segments whose windows can be equal share an anchor and stay together. Windows whose hash stands with one owner alone are left out before
     the BWT is built; the BWT's common prefixes decide about the rest, byte by byte.
     """
     out: list[tuple[int, int]] = []
+    if not segments:
+        return out
+    sizes = np.array([len(s) for s in segments], np.int64)
+    group = anchor_of(np.frombuffer(b"".join(segments), np.uint8), offsets(sizes)[:-1])
     order = np.argsort(group, kind="stable")
-    lengths = np.array([len(segments[i]) for i in order], np.int64)
+    lengths = sizes[order]
     text = np.frombuffer(b"".join([segments[i] for i in order]), np.uint8)
-    if len(text) < WINDOW:
-        return out
     begin = offsets(lengths)
     at = spread(begin[:-1], np.maximum(0, lengths - WINDOW + 1))
     seg = np.repeat(np.arange(len(order)), np.maximum(0, lengths - WINDOW + 1))
@@ -161,31 +172,31 @@ class Holders:
         self.done: list[tuple[int, int, int, int]] = []  # id, th, start, length
         self.size = 0
 
-    def add(self, segment: bytes, h: int, who: int, th: int, start: int) -> None:
+    def add(self, segment: bytes, who: int, th: int, start: int) -> None:
         now = self.best.get(segment)
         if now is None:
-            self.best[segment] = [h, who, [(th, start)]]
+            self.best[segment] = [who, [(th, start)]]
             self.size += len(segment) + 64
-        elif who == now[1]:
-            now[2].append((th, start))
-        elif who > now[1]:
+        elif who == now[0]:
+            now[1].append((th, start))
+        elif who > now[0]:
             self.done.append((who, th, start, len(segment)))
         else:
-            self.done += [(now[1], t, s, len(segment)) for t, s in now[2]]
-            now[1], now[2] = who, [(th, start)]
+            self.done += [(now[0], t, s, len(segment)) for t, s in now[1]]
+            now[0], now[1] = who, [(th, start)]
 
     def blobs(self, n: int) -> pa.RecordBatch:
-        rows = [(h, who, th, start, s) for s, (h, who, places) in self.best.items() for th, start in places]
+        rows = [(who, th, start, s) for s, (who, places) in self.best.items() for th, start in places]
         out = []
         if rows:
-            h, who, th, start, s = zip(*rows, strict=True)
-            h, length = np.array(h, np.int64).view(np.uint64), np.array([len(x) for x in s], np.int64)
-            bucket = (h % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            who, th, start, s = zip(*rows, strict=True)
+            length = np.array([len(x) for x in s], np.int64)
             text = np.frombuffer(b"".join(s), np.uint8)
             begin = offsets(length)
+            bucket = (anchor_of(text, begin[:-1]) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(n + 1))
-            arrays = [h, np.array(who, np.int64), np.array(th, np.int64), np.array(start, np.int64), length.astype(np.uint16)]
+            arrays = [np.array(who, np.int64), np.array(th, np.uint32), np.array(start, np.uint32), length.astype(np.uint8)]
             for b in range(n):
                 if (part := order[edges[b] : edges[b + 1]]).size:
                     out.append((b, packed([*(a[part] for a in arrays), text[spread(begin[:-1][part], length[part])]])))
@@ -242,9 +253,10 @@ def _cut(n: int):
         held = Holders()
         for batch in batches:
             for who, th, text, places in zip(*(batch.column(i) for i in range(2)), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                who, th, data, v = who.as_py(), th.as_py(), text.as_buffer().to_pybytes(), places.values
-                for start, count, h in zip(*(v.field(k).to_pylist() for k in range(3)), strict=True):
-                    held.add(data[start : start + count + WINDOW - 1], h, who, th, start)
+                who, th, data = who.as_py(), th.as_py(), text.as_buffer().to_pybytes()
+                for place in sorted(places.as_py()):
+                    start, run = divmod(place, A.LONGEST_RUN)
+                    held.add(data[start : start + run + WINDOW], who, th, start)
                 if held.size >= HELD_BYTES:
                     yield held.blobs(n)
                     held = Holders()
@@ -267,16 +279,16 @@ def _decide(batches):
     with tempfile.TemporaryDirectory() as folder:
         for b in list(parts):
             held = Holders()
-            for h, who, th, start, length, text in parts.pop(b):
+            for who, th, start, length, text in parts.pop(b):
                 data, edge = text.tobytes(), offsets(length.astype(np.int64)).tolist()
-                for row in zip(h.view(np.int64).tolist(), who.tolist(), th.tolist(), start.tolist(), edge[:-1], edge[1:], strict=True):
-                    held.add(data[row[4] : row[5]], *row[:4])
+                for row in zip(who.tolist(), th.tolist(), start.tolist(), edge[:-1], edge[1:], strict=True):
+                    held.add(data[row[3] : row[4]], *row[:3])
             segments = list(held.best)
             rest = list(held.best.values())
-            found = repeated_windows(segments, np.array([x[1] for x in rest], np.int64), np.array([x[0] for x in rest], np.int64), folder)
+            found = repeated_windows(segments, np.array([x[0] for x in rest], np.int64), folder)
             out = [(*d[:3], d[2] + d[3]) for d in held.done]
             for i, offset in found:
-                out += [(rest[i][1], th, start + offset, start + offset + WINDOW) for th, start in rest[i][2]]
+                out += [(rest[i][0], th, start + offset, start + offset + WINDOW) for th, start in rest[i][1]]
             if out:
                 yield _span_batch(*_merged(np.array(out, np.int64)))
 
@@ -322,8 +334,8 @@ def _remove(batches):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, th, text): id orders documents, null ids after all others; id and text hash name a row's text."""
-    return texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    """(doc_id, id, th, text): id orders documents, null ids after all others; id and a 32-bit text hash name a row's text (it tells rows apart that share an id)."""
+    return texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), "text")
 
 
 def first_copies(base: DataFrame) -> DataFrame:
