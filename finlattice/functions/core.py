@@ -179,7 +179,7 @@ def tokens(text: Cell) -> Column:
 def snippet(text: Cell, term: Cell, before: int = 120, after: int = 260) -> Column:
     """What stands around the first occurrence of term, case aside; the beginning where it has none."""
     t = col(text)
-    at = F.locate_in(t, term) if hasattr(F, "locate_in") else F.instr(F.lower(t), F.lower(col(term)))
+    at = F.instr(F.lower(t), F.lower(col(term)))
     start = F.greatest(F.lit(1), at - before)
     return F.when(at > 0, F.substring(t, start, at - start + after)).otherwise(F.substring(t, 1, before + after))
 
