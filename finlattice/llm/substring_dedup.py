@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from finlattice.llm import _anchors as A
 from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, documents, mixed, offsets, packed, partitions, spread, unpacked, written
-from finlattice.llm.suffix_dedup import first_copies, keyed
+from finlattice.llm.suffix_dedup import first_copies, keyed, named
 
 K = 20
 #: Words of the grams that anchor a window.
@@ -281,7 +281,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked = paths.join(said, ["src", "src_th", "src_start", "n"], "left").groupBy(*key).agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
     rows = base.join(leads.hint("shuffle_hash"), key, "left").join(checked.hint("shuffle_hash"), key, "left")
     out = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string"
-    return rows.select("doc_id", "text", F.col("lead").isNull().alias("whole"), "paths").mapInArrow(_remove, out)
+    return named(rows).select("doc_id", "text", F.col("lead").isNull().alias("whole"), "paths").mapInArrow(_remove, out)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,9 +333,20 @@ def _remove(batches):
         )
 
 
+#: Stands for a null id: it is larger than any other.
+NO_ID = (1 << 63) - 1
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, th, text): id orders documents, null ids after all others; id and a 32-bit text hash name a row's text (it tells rows apart that share an id)."""
-    return texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), "text")
+    """(id, th, text): id orders documents; id and a 32-bit text hash name a row's text (it tells rows apart that share an id).
+
+    Every join with texts takes these three columns and no other, so that one exchange of the texts serves them all.
+    """
+    return texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), "text")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.nullif("id", F.lit(NO_ID)))
 
 
 def first_copies(base: DataFrame) -> DataFrame:
@@ -361,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.col("lead").isNull() & (F.octet_length("text") >= WINDOW)
     rows = base.join(leads.hint("shuffle_hash"), key, "left").join(spans.hint("shuffle_hash"), key, "left")
     out = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
-    return rows.select("doc_id", "text", whole.alias("whole"), "spans").mapInArrow(_remove, out)
+    return named(rows).select("doc_id", "text", whole.alias("whole"), "spans").mapInArrow(_remove, out)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
