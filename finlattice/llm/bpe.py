@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 
 from finlattice.llm._common import documents, texts
 
-#: Distinct words whose ids a worker keeps; beyond it, it starts anew.
-CACHED_WORDS = 400_000
+#: Entries of each generation of a worker's caches.
+CACHED = 250_000
 #: Rows that go back to Spark at once.
 ROWS_OUT = 512
 #: Words of a normalised text (fixed by the vocabulary file's format).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
+#: More than any id.
+WIDE = 1 << 20
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+
 
 def byte_alphabet() -> list[str]:
     """A printable character for each byte: itself where it is visible Latin-1, else the next code point from 256 on."""
@@ -31,6 +36,25 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in set(seen) else next(rest)) for b in range(256)]
 
 
+class Cache(dict):
+    """What make() gives for a key, kept for two generations: a full one becomes the old one, and what is asked for again moves up from there."""
+
+    def __init__(self, make, size: int = CACHED):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary with word ends, as a tokenizer's JSON file describes it."""
 
@@ -41,56 +65,62 @@ class Vocabulary:
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Rank of each pair of ids (left * WIDE + right), and the id that a merge of that rank gives.
+        self.ranks = {self.ids[a] * WIDE + self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.result = [self.ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.alphabet = byte_alphabet()
-        self.words: dict[str, tuple[int, ...]] = {}
+        alphabet = byte_alphabet()
+        self.inner = [self.ids.get(c) for c in alphabet]
+        self.last = [self.ids.get(c + self.end) for c in alphabet]
+        self.words = Cache(self.merged)
+        self.chunks = Cache(self.chunk)
 
     def merged(self, word: str) -> tuple[int, ...]:
-        """Ids of one word. The queue holds (rank, place, pair, result); an entry is stale when its pair no longer stands at its place."""
-        chars = [self.alphabet[b] for b in word.encode()]
-        chars[-1] += self.end
-        symbol = [i for c in chars if (i := self.ids.get(c)) is not None]
-        n, merges = len(symbol), self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, symbol[i], symbol[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((symbol[i], symbol[i + 1])))]
-        heapq.heapify(queue)
+        """Ids of one word. The queue holds rank * n + place; an entry is stale when the pair at its place isn't of that rank any more."""
+        data = word.encode()
+        symbol = [self.inner[b] for b in data[:-1]]
+        symbol.append(self.last[data[-1]])
+        if None in symbol:
+            symbol = [s for s in symbol if s is not None]
+        n, rank_of, result = len(symbol), self.ranks.get, self.result
+        queue = [r * n + i for i, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False)) if (r := rank_of(a * WIDE + b)) is not None]
+        heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
-            j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
+            rank, i = divmod(heappop(queue), n)
+            left, j = symbol[i], after[i]
+            if left < 0 or j >= n or rank_of(left * WIDE + symbol[j]) != rank:
                 continue
-            symbol[i], symbol[j] = new, -1
+            symbol[i] = new = result[rank]
+            symbol[j] = -1
             after[i] = k = after[j]
-            after[j] = -1
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if m := merges.get((new, symbol[k])):
-                    heapq.heappush(queue, (m[0], i, new, symbol[k], m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((symbol[h], new))):
-                heapq.heappush(queue, (m[0], h, symbol[h], new, m[1]))
+                if (r := rank_of(new * WIDE + symbol[k])) is not None:
+                    heappush(queue, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbol[h] * WIDE + new)) is not None:
+                heappush(queue, r * n + h)
         return tuple(s for s in symbol if s >= 0)
 
+    def chunk(self, text: str) -> tuple[int, ...]:
+        """Ids of a stretch of text without special tokens."""
+        text = unicodedata.normalize("NFC", text)
+        # Lower case goes character by character: a final sigma isn't special.
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return tuple(chain.from_iterable(map(self.words.__getitem__, WORD.findall(text))))
+
     def encode(self, text: str) -> array:
-        out, words = array("i"), self.words
+        out = array("i")
         for piece in self.split.split(text) if "<|" in text else (text,):
             if piece in self.special:
                 out.append(self.special[piece])
-                continue
-            piece = unicodedata.normalize("NFC", piece)
-            # Lower case goes character by character: a final sigma isn't special.
-            piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-            for w in WORD.findall(piece):
-                got = words.get(w)
-                if got is None:
-                    got = self.merged(w)
-                    if len(w) <= 64:
-                        if len(words) >= CACHED_WORDS:
-                            words.clear()
-                        words[w] = got
-                out.extend(got)
+            elif SEPARATORS.search(piece):  # Python's white space, but not the vocabulary's
+                out.extend(self.chunk(piece))
+            else:  # no word reaches across white space, so what stands between is looked up whole
+                out.extend(chain.from_iterable(map(self.chunks.__getitem__, piece.split())))
         return out
 
     def decode(self, ids: list[int]) -> str:
