@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finlattice.llm import _anchors as A
-from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, documents, mixed, offsets, packed, partitions, spread, unpacked, written
+from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, documents, mixed, offsets, packed, partitions, spread, unpacked
 from finlattice.llm.suffix_dedup import first_copies, keyed, named
 
 K = 20
@@ -206,7 +206,7 @@ def compacted(found: DataFrame) -> DataFrame:
     """Maximal nonbranching paths (FRAGMENT columns) from fragments that follow one another in a document and in its source.
 
     A fragment without a predecessor opens a path and one without a successor closes it; both are found by anti joins, and the k-th
-    opening of a diagonal meets its k-th closing. One exchange by document serves all joins.
+    opening of a diagonal meets its k-th closing.
     """
     f = found.withColumn("shift", F.col("src_start") - F.col("start")).repartition("id", "th").distinct()
     line = ["id", "th", "src", "src_th", "shift"]
@@ -275,7 +275,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = A.gathered(A.repeated_anchors(found, True))
     cut = base.join(places.hint("shuffle_hash"), key).select("id", "th", "text", "places").mapInArrow(_cut(n), BLOB)
     pieces = cut.repartition(n, "bucket").mapInArrow(_decide, ", ".join(f"{c} bigint" for c in FRAGMENT))
-    paths, _ = written(compacted(pieces), "passages")
+    paths = compacted(pieces)
     asked = paths.select("src", "src_th", "src_start", "n").distinct().groupBy(F.col("src").alias("id"), F.col("src_th").alias("th")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
     said = base.join(asked.hint("shuffle_hash"), key).select("id", "th", "text", "asked").mapInArrow(_source_digests, "src bigint, src_th bigint, src_start bigint, n bigint, digest binary")
     checked = paths.join(said, ["src", "src_th", "src_start", "n"], "left").groupBy(*key).agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
