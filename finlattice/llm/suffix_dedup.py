@@ -135,6 +135,25 @@ def repeated_windows(segments: list[bytes], owner: np.ndarray, folder: str) -> l
     used = seg[first]
     low = at[first]
     high = at[np.append(first[1:], len(at)) - 1] + WINDOW
+    # What is left of segments beside a common passage is often the same: its least owner stands for all, the others repeat it whole.
+    best: dict[bytes, int] = {}
+    holder = owner[order][used]
+    stays = np.ones(len(used), bool)
+    data = text.tobytes()
+    for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        j = best.setdefault(data[x:y], i)
+        if j == i:
+            continue
+        if holder[i] == holder[j]:  # both go on: neither is earlier
+            continue
+        if holder[i] < holder[j]:
+            best[data[x:y]] = i
+            i = j
+        stays[i] = False
+    gone = np.nonzero(~stays)[0]
+    count = (high - low)[gone] - WINDOW + 1
+    out += zip(np.repeat(order[used[gone]], count).tolist(), spread(low[gone] - begin[used[gone]], count).tolist(), strict=True)
+    used, low, high = used[stays], low[stays], high[stays]
     size = high - low
     g = group[order][used]
     cuts = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
