@@ -22,13 +22,24 @@ def concept_maps(statements: DataFrame) -> DataFrame:
     return one.groupBy("cik", "accession").agg(*(entry(s) for s in STATEMENTS))
 
 
-def value(m: str, concept: str) -> Column:
-    return F.try_element_at(F.col(m), F.lit(concept))
+class Picks(dict):
+    """Columns that the identities ask for, by name: each is looked up in its map once and then only referred to."""
 
+    def value(self, m: str, concept: str) -> Column:
+        name = f"{m}_{concept}"
+        self[name] = F.try_element_at(F.col(m), F.lit(concept))
+        return F.col(name)
 
-def first(m: str, names: Sequence[str]) -> Column:
-    """struct<name, v> of the first concept that has a value, or null."""
-    return F.coalesce(*(F.when(value(m, c).isNotNull(), F.struct(F.lit(c).alias("name"), value(m, c).alias("v"))) for c in names))
+    def first(self, m: str, names: Sequence[str]) -> Column:
+        """struct<name, v> of the first concept that has a value, or null."""
+        key = "_".join([m, "first", *names])
+        at = lambda c: F.try_element_at(F.col(m), F.lit(c))
+        self[key] = F.coalesce(*(F.when(at(c).isNotNull(), F.struct(F.lit(c).alias("name"), at(c).alias("v"))) for c in names))
+        return F.col(key)
+
+
+PICKS = Picks()
+value, first = PICKS.value, PICKS.first
 
 
 def result(statement: str, name: Column | str, lhs: Column, rhs: Column, detail: Column, limit: Column | None = None) -> Column:
@@ -49,9 +60,17 @@ def balance_sheet() -> list[Column]:
     ]
 
 
-def closing_pair(lhs: Column, rhs: Column) -> Column:
-    """Of arrays of struct<name, v>, the first right side, then left side, that close; else the first of each."""
-    pairs = F.flatten(F.transform(rhs, lambda r: F.transform(lhs, lambda l: F.struct(l.alias("l"), r.alias("r")))))  # noqa: E741
+#: Pairs of candidate sides by check; each step refers to the column of the step before, so that nothing is worked out twice.
+PAIRS: dict[str, Column] = {}
+
+
+def candidate_pairs(lhs: Column, rhs: Column) -> Column:
+    """Of arrays of struct<name, v>, every right side with every left side, in that order."""
+    return F.flatten(F.transform(rhs, lambda r: F.transform(lhs, lambda l: F.struct(l.alias("l"), r.alias("r")))))  # noqa: E741
+
+
+def closing(pairs: str) -> Column:
+    """The first pair that closes, else the first."""
     closes = F.filter(pairs, lambda p: F.abs(p["l"]["v"] - p["r"]["v"]) <= tolerance(p["l"]["v"], p["r"]["v"]))
     return F.coalesce(F.get(closes, F.lit(0)), F.get(pairs, F.lit(0)))
 
@@ -65,7 +84,8 @@ def option(v: Column, *name: Column | str) -> Column:
 
 
 def paired(statement: str, name: str, lhs: Column, rhs: Column) -> Column:
-    p = closing_pair(lhs, rhs)
+    PAIRS[name] = candidate_pairs(lhs, rhs)
+    p = F.col(f"{name}_pair")
     return result(statement, name, p["l"]["v"], p["r"]["v"], F.concat(p["l"]["name"], F.lit(" = "), p["r"]["name"]))
 
 
@@ -128,8 +148,10 @@ def across() -> list[Column]:
 
 def run_checks(maps: DataFrame) -> DataFrame:
     """(cik, accession, statement, check_name, passed, lhs, rhs, difference, detail); only checks whose operands all stand."""
-    found = F.filter(F.array(*balance_sheet(), *income_statement(), *cash_flow(), *across()), lambda r: r.isNotNull())
-    rows = maps.select("cik", "accession", F.explode(found).alias("r")).select("cik", "accession", "r.*")
+    results = [*balance_sheet(), *income_statement(), *cash_flow(), *across()]
+    found = F.filter(F.array(*results), lambda r: r.isNotNull())
+    picked = maps.withColumns(dict(PICKS)).withColumns({f"{n}_pairs": p for n, p in PAIRS.items()}).withColumns({f"{n}_pair": closing(f"{n}_pairs") for n in PAIRS})
+    rows = picked.select("cik", "accession", F.explode(found).alias("r")).select("cik", "accession", "r.*")
     return rows.withColumn("difference", F.col("lhs") - F.col("rhs"))
 
 
