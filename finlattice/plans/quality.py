@@ -11,12 +11,12 @@ from finlattice.operators import windows as W
 from finlattice.plans.lines import VERSIONS_SQL, versions
 from finlattice.plans.registry import Tables, query
 
-NET_TAX = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+NET_TAX = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
 
 
 def checked(t: Tables) -> DataFrame:
     """Orders with the sum of their latest line versions against the stated total."""
-    sums = versions(t).where("is_current").groupBy("l_orderkey").agg(F.round(F.sum(NET_TAX), 6).alias("net_tax"))
+    sums = versions(t).where("is_current").groupBy("l_orderkey").agg(F.round(F.sum(F.expr(NET_TAX)), 6).alias("net_tax"))
     joined = t.orders.join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     return I.identity_check(joined, F.col("net_tax"), F.col("o_totalprice"))
 
