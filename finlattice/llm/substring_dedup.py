@@ -205,17 +205,18 @@ def _decide(batches):
 def compacted(found: DataFrame) -> DataFrame:
     """Maximal nonbranching paths (FRAGMENT columns) from fragments that follow one another in a document and in its source.
 
-    A fragment without a predecessor opens a path and one without a successor closes it; both are found by anti joins, and the k-th
-    opening of a diagonal meets its k-th closing.
+    A join tells which fragments have a predecessor on their diagonal, one that ends where they start; those without open a path, and
+    the openings counted so far along the diagonal number the paths.
     """
-    f = found.withColumn("shift", F.col("src_start") - F.col("start")).repartition("id", "th").distinct()
+    # Columns that can't be null: else each join puts a null filter of its own under the exchange, which then isn't shared.
+    solid = found.select(*(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in FRAGMENT))
+    f = solid.withColumn("shift", F.col("src_start") - F.col("start")).drop("src_start").distinct()
     line = ["id", "th", "src", "src_th", "shift"]
-    ends = f.select(*line, (F.col("start") + F.col("n")).alias("at"))
-    starts = f.select(*line, F.col("start").alias("at"))
-    k = F.row_number().over(Window.partitionBy(*line).orderBy("at")).alias("k")
-    opened = starts.join(ends, [*line, "at"], "left_anti").select(*line, F.col("at").alias("start"), k)
-    closed = ends.join(starts, [*line, "at"], "left_anti").select(*line, F.col("at").alias("stop"), k)
-    return opened.join(closed, [*line, "k"]).select("id", "th", "start", (F.col("stop") - F.col("start")).alias("n"), "src", "src_th", (F.col("start") + F.col("shift")).alias("src_start"))
+    ends = f.select(*line, (F.col("start") + F.col("n")).alias("start"), F.lit(True).alias("follows"))
+    marked = f.join(ends, [*line, "start"], "left")
+    opened = F.count_if(F.col("follows").isNull()).over(Window.partitionBy(*line).orderBy("start"))
+    paths = marked.withColumn("path", opened).groupBy(*line, "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
+    return paths.select("id", "th", "start", "n", "src", "src_th", (F.col("start") + F.col("shift")).alias("src_start"))
 
 
 def _digest(words: list[bytes], start: int, n: int) -> bytes:
