@@ -215,7 +215,8 @@ def compacted(found: DataFrame) -> DataFrame:
     ends = f.select(*line, (F.col("start") + F.col("n")).alias("start"), F.lit(True).alias("follows"))
     marked = f.join(ends, [*line, "start"], "left")
     opened = F.count_if(F.col("follows").isNull()).over(Window.partitionBy(*line).orderBy("start"))
-    paths = marked.withColumn("path", opened).groupBy(*line, "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
+    paths = marked.withColumn("path", opened).groupBy(*line, "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
+    paths = paths.withColumn("n", F.col("stop") - F.col("start"))  # fragments of repeated rows may overlap
     return paths.select("id", "th", "start", "n", "src", "src_th", (F.col("start") + F.col("shift")).alias("src_start"))
 
 
