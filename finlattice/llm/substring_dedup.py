@@ -147,6 +147,8 @@ def _cut(n: int):
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.nonzero(new)[0]
+        since = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+        at = np.nonzero(since % A.LONGEST_RUN == 0)[0]  # anchors of one hash that follow one another are one stretch here; a run is sent as a byte
         run = np.diff(np.append(at, len(h)))
         out = []
         bucket = (h[at] % np.uint64(n)).astype(np.int64)

@@ -96,6 +96,18 @@ def test_substring_dedup(docs, rows):
     assert len(got) == len(rows) and all([r[2], r[3]] == want[r[0], r[1]] for r in got)
 
 
+def test_substring_dedup_of_templated_lines(spark):
+    r = random.Random(3)
+    pool = [f"v{r.randrange(10**6)}" for _ in range(100_000)]
+    h = substring_dedup.mixed(substring_dedup.A.grams(substring_dedup.word_hashes(" ".join(pool).encode()), substring_dedup.GRAM))
+    fixed = " ".join(pool[(k := int(h.argmin())) : k + substring_dedup.GRAM])  # the least gram of every window
+    lines = [f"{fixed} n{k}" for k in range(1000)]
+    rows = [(1, "\n".join(lines)), (2, "start " + "\n".join(lines[100:400]) + " end"), (3, "\n".join(f"{fixed} m{k}" for k in range(29)))]
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    got = substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", length, F.sha2("kept", 256)).collect()
+    assert same(got, brute.word_repeats(rows))
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     text = ("one two\tthree\n" * 50 + "y" * 300 + " end ").encode()
     whole = substring_dedup.word_hashes(text)
