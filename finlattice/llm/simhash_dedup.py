@@ -125,6 +125,17 @@ def linked(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return distinct.select("fp").mapInArrow(replicate, BLOB).repartition(n, "bucket").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) of each row: root is one fingerprint of its component and alone names it, as ids may be null or repeat."""
+    rows, _ = written(fingerprints(docs, id_col, text_col), "simhash")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    of = components(linked(distinct), "simhash-links")
+    classes = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = classes.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, th (hash of the text). component_id is the smallest doc_id reachable over links of at most 3 bits.
 
@@ -132,20 +143,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, repeated rows too, are linked. Null ids get a component like other rows but never name one unless it has no other.
     Each distinct fingerprint is compared once, however many copies it has.
     """
-    rows, _ = written(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    of = components(linked(distinct), "simhash-links")
-    classes = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id", "th")
+    return _classes(docs, id_col, text_col).select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id", "th")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without near copies: of each component the row that names it stays (of several with its id, that with the least text hash)."""
-    classes = near_duplicates(docs, id_col, text_col)
-    named = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("th").alias("th"))
-    return only(docs, named.select(F.col("component_id").alias("doc_id"), "th"), id_col, text_col)
+    """The rows of docs, all columns, without near copies: of each component the row that names it stays (of several with its id, that with the least text hash).
+
+    Components that share a name, as all rows of theirs have null ids or one id repeats, keep a row each.
+    """
+    classes = _classes(docs, id_col, text_col)
+    named = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"))
+    return only(docs, named.select("doc_id", "th"), id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

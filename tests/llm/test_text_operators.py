@@ -157,6 +157,13 @@ def test_simhash(docs, rows):
     assert len(kept) == len({of[fp[t]] for _, t in rows})
 
 
+def test_simhash_keeps_a_row_of_each_component_that_shares_a_name(spark):
+    texts = [" ".join(f"{k}{w}" for w in range(40)) for k in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[4])]
+    kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert same(kept, [rows[0], rows[1], rows[3], rows[4], rows[7]])
+
+
 def test_anchors_meet_every_pair_within_three_bits():
     r = random.Random(5)
     for _ in range(300):
