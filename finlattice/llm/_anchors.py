@@ -19,8 +19,8 @@ P = np.uint64(0x9E3779B97F4A7C15)
 LONGEST_RUN = 64
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
-#: place is start * LONGEST_RUN + run - 1.
-CANDIDATES = "id bigint, th bigint, place bigint"
+#: place is start * LONGEST_RUN + run - 1. Texts under one id may share low, 32 bits of the text hash: each gets the places of all.
+CANDIDATES = "id bigint, low bigint, place bigint"
 
 
 def grams(units: np.ndarray, m: int, p: np.uint64 = P) -> np.ndarray:
@@ -118,7 +118,7 @@ def repeated_anchors(found: DataFrame, within: bool) -> DataFrame:
 
 def _candidates(who, th, start, run) -> pa.RecordBatch:
     place = start.astype(np.int64) * LONGEST_RUN + run - 1
-    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(th.astype(np.int64)), pa.array(place)], ["id", "th", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(th.astype(np.int64)), pa.array(place)], ["id", "low", "place"])
 
 
 def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
@@ -146,8 +146,8 @@ def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
 
 
 def gathered(candidates: DataFrame) -> DataFrame:
-    """(id, th, places array<bigint>): candidates by document; as many as the document has, at most."""
-    return candidates.groupBy("id", "th").agg(F.collect_list("place").alias("places"))
+    """(id, low, places array<bigint>): candidates by document; as many as the document has, at most."""
+    return candidates.groupBy("id", "low").agg(F.collect_list("place").alias("places"))
 
 
 __all__ = ["BLOB", "CANDIDATES", "HELD", "anchors", "gathered", "grams", "packed", "repeated_anchors", "sent"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from finlattice.llm import _anchors as A
 from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, documents, mixed, offsets, packed, partitions, spread, unpacked
-from finlattice.llm.suffix_dedup import first_copies, keyed, named
+from finlattice.llm.suffix_dedup import first_copies, is_lead, keyed, low, named, own
 
 K = 20
 #: Words of the grams that anchor a window.
@@ -157,7 +157,7 @@ def _cut(n: int):
         for b in range(n):
             if (part := order[cut[b] : cut[b + 1]]).size:
                 p = at[part]
-                out.append((b, packed([h[p], who[p], th[p].astype(np.uint32), start[p].astype(np.uint32), run[part].astype(np.uint8), edge[spread(p, run[part])]])))
+                out.append((b, packed([h[p], who[p], th[p], start[p].astype(np.uint32), run[part].astype(np.uint8), edge[spread(p, run[part])]])))
         if done:
             out += by_bucket((mixed(done[0].view(np.uint64)) % np.uint64(n)).astype(np.int64), n, done)
         return blob_batch(out)
@@ -169,9 +169,12 @@ def _cut(n: int):
                 words = word_hashes(text.as_buffer().to_pybytes())
                 place = np.sort(places.values.to_numpy())
                 begin, count = place // A.LONGEST_RUN, place % A.LONGEST_RUN + 1
-                h = A.minima(mixed(A.grams(words, GRAM)), K - GRAM + 1)[begin]
+                if len(words) < K:
+                    continue
+                h = A.minima(mixed(A.grams(words, GRAM)), K - GRAM + 1)
                 at = spread(begin, count)
-                held.append((np.repeat(h, count), np.full(len(at), who), np.full(len(at), th), at, edges(words)[at]))
+                at = at[at < len(h)]  # places of another text that shares id and low may lie past the end
+                held.append((h[at], np.full(len(at), who), np.full(len(at), th), at, edges(words)[at]))
                 size += len(at)
                 if size >= HELD_EDGES:
                     yield flush(held)
@@ -197,7 +200,7 @@ def _decide(batches):
                 parts.setdefault(b, []).append(got)
     for b in list(parts):
         h, who, th, start, run, edge = map(np.concatenate, zip(*parts.pop(b), strict=True))
-        run, th = run.astype(np.int64), th.astype(np.int64)
+        run = run.astype(np.int64)
         wide = [np.repeat(a, run) for a in (h, who, th)]
         done, _ = _settled(wide[0], edge, wide[1], wide[2], spread(start.astype(np.int64), run))
         if done:
@@ -273,19 +276,19 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = keyed(docs, id_col, text_col)
     n = 2 * partitions(docs.sparkSession)
-    key = ["id", "th"]
+    key = ["id", "low"]
     leads = first_copies(base)
-    found = base.join(leads.hint("shuffle_hash"), key).select("id", "th", "text").mapInArrow(_find(n), BLOB)
+    found = base.join(leads.hint("shuffle_hash"), key).where(is_lead()).select("id", "low", "text").mapInArrow(_find(n), BLOB)
     places = A.gathered(A.repeated_anchors(found, True))
     cut = base.join(places.hint("shuffle_hash"), key).select("id", "th", "text", "places").mapInArrow(_cut(n), BLOB)
     pieces = cut.repartition(n, "bucket").mapInArrow(_decide, ", ".join(f"{c} bigint" for c in FRAGMENT))
     paths = compacted(pieces)
-    asked = paths.select("src", "src_th", "src_start", "n").distinct().groupBy(F.col("src").alias("id"), F.col("src_th").alias("th")).agg(F.collect_list(F.struct("src_start", "n")).alias("asked"))
-    said = base.join(asked.hint("shuffle_hash"), key).select("id", "th", "text", "asked").mapInArrow(_source_digests, "src bigint, src_th bigint, src_start bigint, n bigint, digest binary")
-    checked = paths.join(said, ["src", "src_th", "src_start", "n"], "left").groupBy(*key).agg(F.collect_list(F.struct("start", "n", "digest")).alias("paths"))
+    asked = paths.select("src", "src_th", "src_start", "n").distinct().groupBy(F.col("src").alias("id"), low(F.col("src_th")).alias("low")).agg(F.collect_list(F.struct("src_start", "n", F.col("src_th").alias("th"))).alias("asked"))
+    said = base.join(asked.hint("shuffle_hash"), key).select("id", "th", "text", own("asked").alias("asked")).mapInArrow(_source_digests, "src bigint, src_th bigint, src_start bigint, n bigint, digest binary")
+    checked = paths.join(said, ["src", "src_th", "src_start", "n"], "left").groupBy("id", low(F.col("th")).alias("low")).agg(F.collect_list(F.struct("start", "n", "digest", "th")).alias("paths"))
     rows = base.join(leads.hint("shuffle_hash"), key, "left").join(checked.hint("shuffle_hash"), key, "left")
     out = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, kept string"
-    return named(rows).select("doc_id", "text", F.col("lead").isNull().alias("whole"), "paths").mapInArrow(_remove, out)
+    return named(rows).select("doc_id", "text", (~is_lead()).alias("whole"), own("paths").alias("paths")).mapInArrow(_remove, out)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlattice.llm import _anchors as A
@@ -215,7 +215,7 @@ class Holders:
             bucket = (anchor_of(text, begin[:-1]) % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(n + 1))
-            arrays = [np.array(who, np.int64), np.array(th, np.uint32), np.array(start, np.uint32), length.astype(np.uint8)]
+            arrays = [np.array(who, np.int64), np.array(th, np.int64), np.array(start, np.uint32), length.astype(np.uint8)]
             for b in range(n):
                 if (part := order[edges[b] : edges[b + 1]]).size:
                     out.append((b, packed([*(a[part] for a in arrays), text[spread(begin[:-1][part], length[part])]])))
@@ -275,7 +275,9 @@ def _cut(n: int):
                 who, th, data = who.as_py(), th.as_py(), text.as_buffer().to_pybytes()
                 for place in sorted(places.as_py()):
                     start, run = divmod(place, A.LONGEST_RUN)
-                    held.add(data[start : start + run + WINDOW], who, th, start)
+                    segment = data[start : start + run + WINDOW]
+                    if len(segment) >= WINDOW:  # not a place of another text that shares id and low
+                        held.add(segment, who, th, start)
                 if held.size >= HELD_BYTES:
                     yield held.blobs(n)
                     held = Holders()
@@ -336,7 +338,7 @@ def _remove(batches):
             if whole:
                 rows.append((len(data), [{"start": 0, "stop": len(data)}] if data else [], b""))
                 continue
-            if spans.as_py() is None:
+            if not spans.as_py():
                 rows.append((len(data), [], data))
                 continue
             v = spans.values
@@ -357,11 +359,26 @@ NO_ID = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, text): id orders documents; id and a 32-bit text hash name a row's text (it tells rows apart that share an id).
+    """(id, low, th, text): id orders documents; id and a 64-bit text hash name a row's text (it tells rows apart that share an id).
 
-    Every join with texts takes these three columns and no other, so that one exchange of the texts serves them all.
+    low is the half of th that travels with anchors. Every join with texts is on id and low, its other side has one row for them and lists
+    what belongs to each th, and every join takes these four columns and no other, so that one exchange of the texts serves them all.
     """
-    return texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), "text")
+    th = F.xxhash64("text")
+    return texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), low(th).alias("low"), th.alias("th"), "text")
+
+
+def low(th: Column) -> Column:
+    return th.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def own(listed: str) -> Column:
+    """The entries of a list by (id, low) that belong to the row's own th."""
+    return F.filter(listed, lambda x: x["th"] == F.col("th"))
+
+
+def is_lead() -> Column:
+    return F.coalesce(F.array_contains("leads", F.col("th")), F.lit(False))
 
 
 def named(rows: DataFrame) -> DataFrame:
@@ -369,8 +386,9 @@ def named(rows: DataFrame) -> DataFrame:
 
 
 def first_copies(base: DataFrame) -> DataFrame:
-    """(id, th, lead) of the first document of each distinct text; the small side of joins with base."""
-    return base.groupBy(F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.min("id").alias("id"), F.min("th").alias("th")).select("id", "th", F.lit(True).alias("lead"))
+    """(id, low, leads array<th>) of the first document of each distinct text; the small side of joins with base."""
+    first = base.groupBy(F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.min("id").alias("id"), F.min("th").alias("th"))
+    return first.groupBy("id", low(F.col("th")).alias("low")).agg(F.collect_list("th").alias("leads"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,16 +400,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = keyed(docs, id_col, text_col)
     n = 2 * partitions(docs.sparkSession)
-    key = ["id", "th"]
+    key = ["id", "low"]
     leads = first_copies(base)
-    found = base.join(leads.hint("shuffle_hash"), key).select("id", "th", "text").mapInArrow(_find(n), BLOB)
+    found = base.join(leads.hint("shuffle_hash"), key).where(is_lead()).select("id", "low", "text").mapInArrow(_find(n), BLOB)
     places = A.gathered(A.repeated_anchors(found, False))
     cut = base.join(places.hint("shuffle_hash"), key).select("id", "th", "text", "places").mapInArrow(_cut(n), BLOB)
-    spans = cut.repartition(n, "bucket").mapInArrow(_decide, SPANS).groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    whole = F.col("lead").isNull() & (F.octet_length("text") >= WINDOW)
+    spans = cut.repartition(n, "bucket").mapInArrow(_decide, SPANS).groupBy("id", low(F.col("th")).alias("low")).agg(F.collect_list(F.struct("start", "stop", "th")).alias("spans"))
+    whole = ~is_lead() & (F.octet_length("text") >= WINDOW)
     rows = base.join(leads.hint("shuffle_hash"), key, "left").join(spans.hint("shuffle_hash"), key, "left")
     out = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
-    return named(rows).select("doc_id", "text", whole.alias("whole"), "spans").mapInArrow(_remove, out)
+    return named(rows).select("doc_id", "text", whole.alias("whole"), own("spans").alias("spans")).mapInArrow(_remove, out)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

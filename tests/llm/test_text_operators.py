@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -108,6 +109,21 @@ def test_substring_dedup_of_templated_lines(spark):
     assert same(got, brute.word_repeats(rows))
 
 
+def test_texts_under_one_id_whose_hashes_share_32_bits(spark):
+    passage = lambda k, n: " ".join(f"{k}{w}" for w in range(n))
+    long, short = passage("a", 90), passage("b", 25)
+    half = lambda s: xxhash.xxh64_intdigest(s.encode(), 42) & 0xFFFFFFFF
+    of = {half(s): s for s in (f"{long} x{k}" for k in range(300_000))}
+    meet = [(of[h], s) for s in (f"{short} y{k}" for k in range(300_000)) if (h := half(s)) in of][:3]
+    assert meet
+    rows = [(1, passage("a", 88) + " end"), *((None, s) for pair in meet for s in pair)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    assert same(suffix_dedup.remove_repeats(d).select("doc_id", "n_bytes", length, F.size("spans"), F.sha2("kept", 256)).collect(), brute.byte_repeats(rows))
+    lone = [rows[0], *((None, s) for s in meet[0])]  # the texts of one pair have no passage in common
+    assert same(substring_dedup.remove_passages(spark.createDataFrame(lone, "doc_id long, text string")).select("doc_id", "n_words", length, F.sha2("kept", 256)).collect(), brute.word_repeats(lone))
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     text = ("one two\tthree\n" * 50 + "y" * 300 + " end ").encode()
     whole = substring_dedup.word_hashes(text)
