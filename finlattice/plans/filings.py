@@ -52,7 +52,7 @@ def grid_quarters(t):
 
 @query("line_order_merge")
 def line_order_merge(t):
-    rows = t.lineitem.where("l_suppkey < 10").groupBy(F.col("l_suppkey").cast("long").alias("cik"), F.year("l_shipdate").alias("filed"), "l_returnflag", "l_linestatus").agg(F.min("l_linenumber").alias("line_order"))
+    rows = t.lineitem.groupBy(F.col("l_suppkey").cast("long").alias("cik"), F.year("l_shipdate").alias("filed"), "l_returnflag", "l_linestatus").agg(F.min("l_linenumber").alias("line_order"))
     return G.merge_order(rows.select("cik", F.lit("IS").alias("statement"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("line_key"), "line_order", "filed"))
 
 

@@ -44,6 +44,17 @@ def test_query(spark, con, name):
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in got) == sorted(repr(tuple(plain(r[k]) for k in at)) for r in want.fetchall())
 
 
+def test_line_order_merge_has_all_suppliers(spark, con):
+    folder = "/root/testdata/sf0.01"  # the smallest tables have ten suppliers only
+    got = QUERIES["line_order_merge"](spark, folder).collect()
+    want = con.sql(f"SELECT DISTINCT l_suppkey, l_returnflag || '/' || l_linestatus FROM '{folder}/lineitem.parquet'").fetchall()
+    assert sorted((r.cik, r.line_key) for r in got) == sorted(want)
+    lines = {}
+    for r in got:
+        lines.setdefault(r.cik, []).append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in lines.values())
+
+
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
