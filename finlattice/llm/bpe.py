@@ -7,20 +7,22 @@ import unicodedata
 from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlattice.llm._common import documents, texts
+from finlattice.llm._common import documents, offsets, texts
 
 #: Entries of each generation of a worker's caches.
 CACHED = 250_000
 #: Rows that go back to Spark at once.
 ROWS_OUT = 512
+#: Bytes of text that one step encodes, unless a single text is longer.
+TEXT_OUT = 16 << 20
 #: Words of a normalised text (fixed by the vocabulary file's format).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -69,7 +71,8 @@ class Vocabulary:
         self.ranks = {self.ids[a] * WIDE + self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.result = [self.ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
+        named = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
+        self.strings = pa.array([named.get(i, "") for i in range(max(named) + 1)])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         alphabet = byte_alphabet()
         self.inner = [self.ids.get(c) for c in alphabet]
@@ -77,7 +80,7 @@ class Vocabulary:
         self.words = Cache(self.merged)
         self.chunks = Cache(self.chunk)
 
-    def merged(self, word: str) -> tuple[int, ...]:
+    def merged(self, word: str) -> bytes:
         """Ids of one word. The queue holds rank * n + place; an entry is stale when the pair at its place isn't of that rank any more."""
         data = word.encode()
         symbol = [self.inner[b] for b in data[:-1]]
@@ -103,29 +106,41 @@ class Vocabulary:
             h = before[i]
             if h >= 0 and (r := rank_of(symbol[h] * WIDE + new)) is not None:
                 heappush(queue, r * n + h)
-        return tuple(s for s in symbol if s >= 0)
+        return array("i", [s for s in symbol if s >= 0]).tobytes()
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch of text without special tokens."""
+    def chunk(self, text: str) -> bytes:
+        """Ids (32-bit) of a stretch of text without special tokens."""
         text = unicodedata.normalize("NFC", text)
         # Lower case goes character by character: a final sigma isn't special.
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return tuple(chain.from_iterable(map(self.words.__getitem__, WORD.findall(text))))
-
-    def encode(self, text: str) -> array:
-        out = array("i")
-        for piece in self.split.split(text) if "<|" in text else (text,):
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, 32 bits each, end to end."""
+        if "<|" not in text and not SEPARATORS.search(text):
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        out = []
+        for piece in self.split.split(text):
             if piece in self.special:
-                out.append(self.special[piece])
+                out.append(np.int32(self.special[piece]).tobytes())
             elif SEPARATORS.search(piece):  # Python's white space, but not the vocabulary's
-                out.extend(self.chunk(piece))
+                out.append(self.chunk(piece))
             else:  # no word reaches across white space, so what stands between is looked up whole
-                out.extend(chain.from_iterable(map(self.chunks.__getitem__, piece.split())))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings one after another; the file names no decoder, so a space stands between two."""
-        return " ".join(map(self.strings.__getitem__, ids))
+                out += map(self.chunks.__getitem__, piece.split())
+        return b"".join(out)
+
+    def decode(self, ids: pa.ListArray) -> pa.StringArray:
+        """Vocabulary strings one after another; the file names no decoder, so a space stands between two. Null and unknown ids are passed over."""
+        # Ids as the batch slices them: neither the array's own offset nor lists that are null count.
+        ids = pa.ListArray.from_arrays(pa.array(offsets(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()).astype(np.int32)), ids.flatten())
+        flat = ids.values
+        known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.strings))), False)
+        if not pc.all(known).as_py():
+            mask = known.to_numpy(zero_copy_only=False)
+            ends = offsets(mask.astype(np.int64))[ids.offsets.to_numpy()]
+            ids, flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(known)), flat.filter(known)
+        strings = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), self.strings.take(flat))
+        return pc.binary_join(strings, " ").cast(pa.string())
 
 
 @lru_cache(maxsize=4)
@@ -133,10 +148,23 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _int_lists(lists: list[np.ndarray]) -> pa.ListArray:
-    ends = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32), pa.int32()))
+def encoded(v: Vocabulary, text: pa.Array) -> pa.ListArray:
+    lists = [v.encode(s or "") for s in text.to_pylist()]
+    ends = offsets(np.array([len(x) for x in lists], np.int64)) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+
+
+def _slices(batches):
+    """Batches of at most ROWS_OUT rows and about TEXT_OUT bytes, but for a row that is larger by itself."""
+    for batch in batches:
+        at, n = 0, batch.num_rows
+        size = offsets(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) if pa.types.is_string(batch.schema.types[1]) else None
+        while at < n:
+            stop = min(n, at + ROWS_OUT)
+            if size is not None:
+                stop = min(stop, max(at + 1, int(np.searchsorted(size, size[at] + TEXT_OUT, "right")) - 1))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,34 +175,40 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                ids = [np.frombuffer(v.encode(s.as_py()), np.int32) for s in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _int_lists(ids)], ["doc_id", "ids"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), encoded(v, part.column(1))], ["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded string) from rows (doc_id, ids); null ids decode as none."""
+    """(doc_id, ids, decoded string) from rows (doc_id, ids); null ids decode as none, and ids that the vocabulary lacks are passed over."""
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                text = [v.decode(x.as_py() or []) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), v.decode(part.column(1))], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): encode() and then decode(), in one pass over each batch."""
+
+    def run(batches):
+        v = vocabulary(path)
+        for part in _slices(batches):
+            ids = encoded(v, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, v.decode(ids)], ["doc_id", "ids", "decoded"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(documents(spark, sf_dir), path), path).select(
+    return round_trip(documents(spark, sf_dir), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
