@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 64 * CONTEXT
 END = 1
 SPECIAL = "<|endoftext|>"
+LONG_SPACE = 4096
+SPACES = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +39,24 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
 
+def token_ids(enc, text: str) -> np.ndarray:
+    """Ids of a whole text. Runs of LONG_SPACE white-space characters are cut out first: the pattern's step back from the end of a run is too deep.
+
+    The pattern takes all of a run but its last character as one word, or all where the text or a special string ends it; so does this.
+    """
+    if len(text) < LONG_SPACE or not (runs := list(SPACES.finditer(text))):
+        return enc.encode_to_numpy(text, allowed_special="all")
+    out, at = [], 0
+    for m in runs:
+        stop = m.end() if m.end() == len(text) or text.startswith(SPECIAL, m.end()) else m.end() - 1
+        if m.start() > at:
+            out.append(enc.encode_to_numpy(text[at : m.start()], allowed_special="all"))
+        out.append(np.array(enc._encode_single_piece(text[m.start() : stop]), np.uint32))
+        at = stop
+    out.append(enc.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out)
+
+
 def pack_block(lengths: list[int], context: int = CONTEXT, shorter: tuple[int, ...] = SHORTER) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length); every token lies in one piece, and nothing is padded.
 
@@ -119,7 +140,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         names, tokens, held = [], [], 0
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = np.append(enc.encode_to_numpy(text.as_py(), allowed_special="all"), np.uint32(END)).astype("<u4")
+                t = np.append(token_ids(enc, text.as_py()), np.uint32(END)).astype("<u4")
                 names.append(name.as_py())
                 tokens.append(t)
                 held += len(t)
