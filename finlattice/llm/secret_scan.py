@@ -10,65 +10,119 @@ from pyspark.sql import functions as F
 
 from finlattice.llm._common import documents, texts
 
-#: Raised whenever a rule below changes: blobs scanned under another version are scanned anew.
-RULES_VERSION = 1
 # Rules, fixed values. The base kinds stand in the order in which spans that start together are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-HOST_TOKEN = re.compile(r"gh[opsu]_[A-Za-z0-9]{36,}")
-KINDS = ("assign", "access", "hex", "private", "host_token")
+KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+#: What follows the first line of a key that has no last one: header fields and lines of base64.
+KEY_BODY = re.compile(r"(?:[ \t]*+\r?+\n(?:[ \t]*+[A-Za-z][A-Za-z0-9-]*+: [^\n]*+|[ \t]*+[A-Za-z0-9+/=]++(?=[ \t\r]*+(?:\n|\Z|-----BEGIN ))|(?=[ \t\r]*+\n)))*+")
+HOST_TOKEN = re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}")
+CHAT_TOKEN = re.compile(r"xox[abeoprs]-[A-Za-z0-9-]{10,}")
+WEB_KEY = re.compile(r"AIza[A-Za-z0-9_-]{35}")
+PAY_KEY = re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+")
+LOGIN = re.compile(r"://[^\s/:@]{1,64}:[^\s/:@]{8,128}@")
+KINDS = ("assign", "access", "hex", "private", "host_token", "chat_token", "web_key", "pay_key", "signed", "login")
+#: Version of each kind's rule, raised when that rule changes: blobs are then scanned anew for that kind alone.
+VERSIONS = (1, 1, 1, 2, 2, 1, 1, 1, 1, 1)
 BASE = 3
 _WORDS = ("pass", "secret", "token", "api")
 _HEX_RUN = re.compile(rb"[0-9a-f]{32}")
-FINDINGS = "blob binary, kind int, start_at int, end_at int"
+FINDINGS = "blob binary, kind int, version int, start_at int, end_at int"
+LEDGER = "blob binary, kind int, version int"
+
+
+def keys(text: str) -> list[tuple[int, int]]:
+    """Private keys from the first line through the last; where the next key comes first or no last line does, through the lines that look like a key's."""
+    out, ends = [], [m.end() for m in KEY_END.finditer(text)]
+    begins = list(KEY_BEGIN.finditer(text))
+    j = at = 0
+    for i, m in enumerate(begins):
+        if m.start() < at:
+            continue
+        while j < len(ends) and ends[j] <= m.end():
+            j += 1
+        limit = begins[i + 1].start() if i + 1 < len(begins) else len(text)
+        at = ends[j] if j < len(ends) and ends[j] <= limit else KEY_BODY.match(text, m.end()).end()
+        out.append((m.start(), at))
+    return out
+
+
+def _rules(text: str):
+    """The spans of each kind, by kind; a rule is tried only on texts that hold what it must."""
+    low = text.lower()
+    yield 0, lambda: [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if any(w in low for w in _WORDS) else ()
+    yield 1, lambda: [m.span() for m in ACCESS.finditer(text)] if "AKIA" in text else ()
+    yield 2, lambda: [m.span() for m in HEX.finditer(text)] if _HEX_RUN.search(text.encode()) else ()
+    yield 3, lambda: keys(text) if "PRIVATE KEY" in text else ()
+    for kind, mark, rule in ((4, "gh", HOST_TOKEN), (5, "xox", CHAT_TOKEN), (6, "AIza", WEB_KEY), (7, "k_live_", PAY_KEY), (8, "eyJ", SIGNED), (9, "://", LOGIN)):
+        yield kind, lambda mark=mark, rule=rule: [m.span() for m in rule.finditer(text)] if mark in text else ()
+
+
+def scan(text: str, kinds=None) -> list[tuple[int, int, int]]:
+    """(kind, start, end) in code points, end exclusive, by start, then kind; of the kinds asked for, else of all."""
+    return sorted(((k, *span) for k, find in _rules(text) if kinds is None or k in kinds for span in find()), key=lambda s: (s[1], s[0]))
 
 
-def scan(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) in code points, end exclusive, by start, then kind."""
-    out, low = [], text.lower()
-    if any(w in low for w in _WORDS):
-        out += [(0, *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    if "AKIA" in text:
-        out += [(1, *m.span()) for m in ACCESS.finditer(text)]
-    if _HEX_RUN.search(text.encode()):
-        out += [(2, *m.span()) for m in HEX.finditer(text)]
-    if "PRIVATE KEY" in text:
-        out += [(3, *m.span()) for m in PRIVATE.finditer(text)]
-    if "gh" in text:
-        out += [(4, *m.span()) for m in HOST_TOKEN.finditer(text)]
-    return sorted(out, key=lambda s: (s[1], s[0]))
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    """(blob, kind, version): which rule has read which blob before; and none has."""
+    return spark.createDataFrame([], LEDGER)
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    """(blob binary, rules int): what has been scanned before; and nothing has."""
-    return spark.createDataFrame([], "blob binary, rules int")
+def current(rows: DataFrame) -> DataFrame:
+    """The ledger or findings rows of today's rule versions."""
+    return rows.where(F.col("version") == F.element_at(F.array(*map(F.lit, VERSIONS)), F.col("kind") + 1))
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, new ledger rows) of the blobs in versions that the ledger doesn't hold under RULES_VERSION.
+    """(findings, new ledger rows) of the pairs of a blob in versions and a rule version that the ledger doesn't hold.
 
-    versions: one row per historical version of a path. A blob's address is the SHA-256 of its bytes; of the rows that hold an
-    unseen blob the one with the least id carries it to the scan, so only that row's text is read by the rules.
-    Append both results to their tables to make the next run incremental.
+    versions: one row per historical version of a path. A blob's address is the SHA-256 of its bytes; of the rows that hold a blob with
+    unseen pairs the one with the least id carries it to the scan, so only that row's text is read, by the unseen rules alone.
+    Append both results to their tables to make the next run incremental, as scan_stored() does.
     """
     t = texts(versions, id_col, text_col).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    known = ledger.where(F.col("rules") == RULES_VERSION).select("blob")
-    todo = t.groupBy("blob").agg(F.min("doc_id").alias("carrier")).join(known, "blob", "left_anti")
+    every = F.array(*map(F.lit, range(len(KINDS))))
+    known = current(ledger).groupBy("blob").agg(F.collect_set("kind").alias("known"))  # at most one entry a kind
+    todo = (
+        t.groupBy("blob").agg(F.min("doc_id").alias("carrier")).join(known, "blob", "left")
+        .select("blob", "carrier", F.when(F.col("known").isNull(), every).otherwise(F.array_except(every, "known")).alias("kinds")).where(F.size("kinds") > 0)
+    )
     key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
     # Joined on row and blob: spread evenly however many paths share a blob. The small side is hashed, so texts aren't sorted.
-    chosen = todo.select("blob", key("carrier").alias("row")).hint("shuffle_hash")
-    carried = t.select("blob", "text", key("doc_id").alias("row")).join(chosen, ["row", "blob"], "left_semi").select("blob", "text")
+    chosen = todo.select("blob", key("carrier").alias("row"), F.when(F.size("kinds") < len(KINDS), F.col("kinds")).alias("kinds")).hint("shuffle_hash")
+    carried = t.select("blob", "text", key("doc_id").alias("row")).join(chosen, ["row", "blob"]).select("blob", "text", "kinds")
 
     def run(batches):
         for batch in batches:
-            rows = [(blob, *s) for blob, text in zip(batch.column(0), batch.column(1), strict=True) for s in scan(text.as_py())]
-            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["blob", "kind", "start_at", "end_at"])
+            rows = [(blob, s[0], VERSIONS[s[0]], *s[1:]) for blob, text, kinds in zip(*batch.columns, strict=True) for s in scan(text.as_py(), kinds.as_py())]
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = (pa.binary(), *[pa.int32()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["blob", "kind", "version", "start_at", "end_at"])
 
     findings = carried.mapInArrow(run, FINDINGS).distinct()
-    return findings, todo.select("blob", F.lit(RULES_VERSION).alias("rules"))
+    seen = todo.select("blob", F.explode("kinds").alias("kind")).select("blob", "kind", F.element_at(F.array(*map(F.lit, VERSIONS)), F.col("kind") + 1).alias("version"))
+    return findings, seen
+
+
+def scan_stored(versions: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """spans_by_path() of versions, with a ledger and findings kept as Parquet under folder (which a cluster's machines share).
+
+    Each call scans only pairs of blob and rule version that no earlier call has, and appends to both tables: findings first, so a
+    run that is lost between them scans again and its findings, read without repeats, come out the same.
+    """
+    spark = versions.sparkSession
+    held = {}
+    for name, schema in (("ledger", LEDGER), ("findings", FINDINGS)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{folder}/{name}")
+        held[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    findings, seen = scan_unseen(versions, held["ledger"], id_col, text_col)
+    findings.write.mode("append").parquet(f"{folder}/findings")
+    seen.write.mode("append").parquet(f"{folder}/ledger")
+    stored = spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
+    return spans_by_path(versions, current(stored).distinct(), id_col, text_col)
 
 
 def spans_by_path(versions: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +139,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, stored: Dat
     Null texts count as empty and have no spans. Rows that repeat, tie or have null ids each get a row. Extra columns are not read.
     """
     findings, _ = scan_unseen(docs, empty_ledger(docs.sparkSession) if ledger is None else ledger, id_col, text_col)
-    return spans_by_path(docs, findings if stored is None else findings.unionByName(stored).distinct(), id_col, text_col)
+    return spans_by_path(docs, findings if stored is None else findings.unionByName(current(stored)).distinct(), id_col, text_col)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -99,7 +153,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str = "n_chars") -> DataFrame:
-    """The rows of docs, all columns, with every secret masked; length_col, where there is one, follows the text. All rows stay."""
+    """The rows of docs, all columns, with every secret masked; length_col, where there is one, follows the text.
+
+    All rows stay, repeated ones and null ids too; null and empty texts stay as they are, and other columns may have any name. No rows give none.
+    """
     findings, _ = scan_unseen(docs, empty_ledger(docs.sparkSession), id_col, text_col)
     found = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start_at", "kind", "end_at"))).alias("spans"))
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("blob"))
