@@ -13,6 +13,8 @@ from finlattice.llm._common import BLOB, blob_batch, documents, only, packed, pa
 QUOTIENT_BITS = 16
 #: Fingerprints that a task holds before it closes a filter and starts the next.
 FILTER_ENTRIES = 1 << 21
+#: Bytes of distinct texts that a task holds before it sends them on.
+HELD_BYTES = 64 << 20
 
 
 class CountingQuotientFilter:
@@ -43,9 +45,22 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """One filter of the same quotients: runs interleave by remainder, counters of equal ones add up."""
+        """One filter of the same quotients: all runs interleave by remainder in one pass, counters of equal ones add up.
+
+        Each filter is sorted by quotient and remainder, so a stable sort finds one run a filter and only merges them.
+        """
         a = filters[0]
-        return cls.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), a.first, len(a.runs))
+        if len(filters) == 1:
+            return a
+        quotient = np.concatenate([np.repeat(np.arange(len(f.runs)), f.runs) for f in filters])
+        remainder, counts = np.concatenate([f.remainders for f in filters]), np.concatenate([f.counts for f in filters])
+        order = np.argsort(quotient.astype(np.uint64) << np.uint64(64 - QUOTIENT_BITS) | remainder, kind="stable")
+        quotient, remainder, counts = quotient[order], remainder[order], counts[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (quotient[1:] != quotient[:-1]) | (remainder[1:] != remainder[:-1])
+        first = np.nonzero(new)[0]
+        sums = np.add.reduceat(counts, first) if len(first) else counts
+        return cls(np.bincount(quotient[first], minlength=len(a.runs)).astype(np.uint32), remainder[first], sums, a.first)
 
     def to_bytes(self) -> bytes:
         six = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
@@ -81,18 +96,52 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp") -> DataFr
             yield flush()
 
     def merge(batches):
-        whole: dict[int, CountingQuotientFilter] = {}
+        whole: dict[int, list[CountingQuotientFilter]] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                f = CountingQuotientFilter.from_bytes(blob.as_buffer())
-                whole[b] = CountingQuotientFilter.merge([whole[b], f]) if b in whole else f
-        for f in whole.values():
+                whole.setdefault(b, []).append(CountingQuotientFilter.from_bytes(blob.as_buffer()))
+        for b in list(whole):
+            f = CountingQuotientFilter.merge(whole.pop(b))
             yield pa.RecordBatch.from_arrays([pa.array(f.fingerprints()[f.counts > 1].view(np.int64))], ["fp"])
 
     parts = fingerprints.select(column).mapInArrow(build, BLOB)
     return parts.repartition(n, "bucket").mapInArrow(merge, "fp bigint")
 
 
+def collapsed(t: DataFrame) -> DataFrame:
+    """(fp, text, keep_id, n): equal texts that one task holds as one row, so that a text with many copies travels once a task.
+
+    t: (doc_id, fp, text). Texts are compared byte by byte. A task holds at most HELD_BYTES of text, or one longer text.
+    """
+
+    def run(batches):
+        held: dict[tuple[int, bytes], list] = {}
+        size = 0
+
+        def flush():
+            keys = list(held)
+            keep, n = zip(*held.values(), strict=True)
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()).view(pa.string()), pa.array(keep, pa.int64()), pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["fp", "text", "keep_id", "n"])
+
+        for batch in batches:
+            for who, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                now = held.get((fp, text))
+                if now is None:
+                    held[fp, text] = [who, 1]
+                    size += len(text) + 200
+                else:
+                    now[0] = who if now[0] is None or (who is not None and who > now[0]) else now[0]
+                    now[1] += 1
+                if size >= HELD_BYTES:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    return t.select("doc_id", "fp", "text").mapInArrow(run, "fp bigint, text string, keep_id bigint, n bigint")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, th (the text's fingerprint).
 
@@ -104,9 +153,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     twice = repeated_fingerprints(t.select("fp")).hint("shuffle_hash")
     # Byte verification: only the whole texts themselves decide which rows with one fingerprint are equal.
     groups = (
-        t.join(twice, "fp", "left_semi")
+        collapsed(t).join(twice, "fp", "left_semi")
         .groupBy("fp", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
         .where("group_size > 1")
         .select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
