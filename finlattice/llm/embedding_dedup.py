@@ -16,8 +16,9 @@ from finlattice.session import ship_package
 THRESHOLD = 0.9
 #: Vectors of a tile's side. Each vector goes to as many tiles as there are sides, so larger ones shuffle less.
 SIDE = 8192
-#: Rows of the smaller products that a tile is worked through by; a product has at most STRIP x SIDE entries.
+#: Rows of the smaller products that a tile is worked through by; a product has at most STRIP x STRIP_WIDE entries.
 STRIP = 512
+STRIP_WIDE = 4096
 EDGE_BLOCK = 1 << 20
 
 
@@ -35,8 +36,17 @@ class Quantised:
         near = self.steps * self.scale[:, None]
         self.error = np.linalg.norm(unit - near, axis=1)
         self.length = np.linalg.norm(near, axis=1)
-        # Sums of int8 products are whole numbers that float32 holds exactly up to 1040 dimensions.
-        self.wide = self.steps.astype(np.float32 if vectors.shape[1] <= 1040 else np.float64)
+
+    def wide(self, rows: slice, beside: np.ndarray) -> np.ndarray:
+        """The int8 steps of some rows for a product, with one more column. Their sums are whole numbers that float32 holds exactly up to 1040 dimensions."""
+        kind = np.float32 if self.steps.shape[1] <= 1040 else np.float64
+        return np.concatenate([self.steps[rows].astype(kind), beside[rows, None].astype(kind)], axis=1)
+
+
+def moderate(x: np.ndarray) -> np.ndarray:
+    """Rows whose components are very large or very small, scaled by a power of two, which changes no cosine; others as they are."""
+    top = np.frexp(np.abs(x).max(axis=1))[1]
+    return np.ldexp(x, np.where(np.abs(top) > 300, -top, 0)[:, None])
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -44,22 +54,32 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def tile_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
-    """(i, j) of the pairs of rows with cosine of threshold or more; of x with itself, i < j."""
+    """(i, j) of the pairs of rows with cosine of threshold or more; of x with itself, i < j.
+
+    The column beside the steps adds each pair's own |s q||f| to the product, so that what is compared is the bound on its cosine.
+    """
+    x, y = moderate(x), moderate(y)
     a, b = Quantised(x), Quantised(y)
-    worst = b.error.max()
-    for at in range(0, len(x), STRIP):
-        rows = slice(at, at + STRIP)
-        product = a.wide[rows] @ b.wide.T
-        product *= b.scale.astype(product.dtype)
-        least = (threshold - 1e-5 - a.error[rows] - a.length[rows] * worst) / a.scale[rows]
-        i, j = np.nonzero(product >= least[:, None].astype(product.dtype))
-        i += at
-        if same:
-            i, j = i[i < j], j[i < j]
-        for part in range(0, len(i), EDGE_BLOCK):
-            p, q = i[part : part + EDGE_BLOCK], j[part : part + EDGE_BLOCK]
-            ok = cosine(x[p], y[q]) >= threshold
-            yield p[ok], q[ok]
+    left, right = a.length / a.scale, b.error / b.scale
+    least = (threshold - 1e-5 - a.error) / a.scale
+    for from_ in range(0, len(y), STRIP_WIDE):
+        columns = slice(from_, from_ + STRIP_WIDE)
+        other = b.wide(columns, right).T
+        for at in range(0, len(x), STRIP):
+            rows = slice(at, at + STRIP)
+            if same and at >= columns.stop:
+                continue
+            product = a.wide(rows, left) @ other
+            product *= b.scale[columns].astype(product.dtype)
+            i, j = np.nonzero(product >= least[rows, None].astype(product.dtype))
+            i += at
+            j += from_
+            if same:
+                i, j = i[i < j], j[i < j]
+            for part in range(0, len(i), EDGE_BLOCK):
+                p, q = i[part : part + EDGE_BLOCK], j[part : part + EDGE_BLOCK]
+                ok = cosine(x[p], y[q]) >= threshold
+                yield p[ok], q[ok]
 
 
 def tiles(distinct: DataFrame, threshold: float, sides: int) -> DataFrame:
