@@ -103,10 +103,19 @@ def test_embeddings_over_several_tiles(spark, monkeypatch):
     assert got == {k: (sum(linked(k, j) for j in v if j != k), of[k]) for k in v}
 
 
+def test_extreme_norms_keep_their_links(spark):
+    r = np.random.default_rng(4)
+    a = r.normal(size=8)
+    rows = [(k, [float(x) for x in a * s + (r.normal(size=8) * 1e-3 * s)]) for k, s in enumerate((1.0, 1e160, 1e-170, 1e300))] + [(9, [float(x) for x in -a])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 9: (0, 9)}
+
+
 def test_quantisation_bound_holds():
     r = np.random.default_rng(2)
     x, y = r.normal(size=(50, 64)), r.normal(size=(60, 64))
     a, b = embedding_dedup.Quantised(x), embedding_dedup.Quantised(y)
+    assert a.steps.dtype == np.int8
     near = (a.steps.astype(float) @ b.steps.T.astype(float)) * a.scale[:, None] * b.scale
     exact = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     assert (np.abs(near - exact) <= a.length[:, None] * b.error + a.error[:, None] + 1e-12).all()
