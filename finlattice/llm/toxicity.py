@@ -1,10 +1,10 @@
-"""Toxicity: a weighted finite-state pattern grammar over clauses, with a lexicon and calibration learned from labels."""
+"""Toxicity: a weighted finite-state grammar over clauses, cascades of transducers each reading what the last one wrote; lexicon and calibration are learned from labels."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
-from itertools import product
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,60 +17,131 @@ from finlattice.session import ship_package
 
 #: Labelled rows that a model is learned from at most: those whose ids have the least hashes. The one bound here; scores read all rows.
 LABELLED = 20_000
-#: Entries of a learned lexicon at most, by the labelled documents they occur in.
-LEXICON = 600
-#: Beginnings of words, in letters, that may stand for all their endings.
-STEMS = (3, 4, 5, 6, 7, 8)
-#: An entry needs this share of the positive documents, and log odds that stay above the limit when a standard error is taken off.
-SUPPORT, LOG_ODDS = 0.02, 3.0
+#: An entry of the lexicon stands in this many positive documents at least, and its log odds stay above the limit when a standard error is taken off.
+DOCUMENTS, LOG_ODDS = 5, 2.5
 HELD_OUT = 5
 
 # Word lists of the grammar, fixed values.
-THREATS = {"kill", "hurt", "destroy", "murder", "stab", "shoot", "burn", "beat", "crush", "töten", "umbringen", "tuer", "frapper", "matar", "golpear"}
-TARGETS = {"you", "your", "you're", "u", "he", "she", "they", "him", "her", "them", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "tú", "ti", "usted", "ustedes"}
-NEGATIONS = {"not", "no", "never", "isn't", "aren't", "don't", "nicht", "kein", "nie", "pas", "jamais", "nunca", "jamás"}
-REPORTS = {"said", "says", "wrote", "quoted", "called", "claims", "reported", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"}
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-THREAT_WEIGHT = 2.0
+THREATS = {
+    *("kill killing murder slaughter strangle choke hang behead lynch stab shoot burn beat hurt destroy crush smash punch drown poison cripple hunt bury").split(),
+    *("töten tötet umbringen erschießen erschlagen erwürgen verprügeln zusammenschlagen zerstören verbrennen vernichten abstechen aufhängen").split(),
+    *("tuer tuerai tue frapper détruire brûler étrangler égorger poignarder écraser pendre massacrer").split(),
+    *("matar mataré matamos golpear destruir quemar apuñalar ahorcar degollar aplastar estrangular").split(),
+}
+#: People who are spoken to or about, where they stand as an object after a verb or anywhere beside an insult.
+TARGETS = {
+    *("you your you're youre yours yourself u ur he she they him her them himself herself themselves everyone").split(),
+    *("du ihr er sie ihm ihnen dein deine toi vous il elle ils elles ton ta tu tú vosotros usted ustedes él ella ellos ellas").split(),
+}
+#: Objects that stand before their verb.
+OBJECTS = {*"dich euch ihn te".split()}
+NEGATIONS = {
+    *("not no never neither nor isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot couldn't shouldn't without hardly").split(),
+    *("nicht kein keine keinen nie niemals ohne pas jamais sans aucun nunca jamás sin ningún").split(),
+}
+REPORTS = {
+    *("said says say saying wrote writes quoted quotes called claims claimed reported reports alleged alleges shouted yelled quote word term headline").split(),
+    *("sagte sagt schrieb schreibt behauptet rief zitierte laut dit écrit affirme déclare selon cria dijo dice escribió afirma según gritó").split(),
+}
+OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, NOTHING = range(8)
+CLASSES = ((THREATS, THREAT), (OBJECTS, OBJECT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+#: Marks that the machines write onto the head of a clause, an insult or a threat: a symbol is a class and its marks.
+AIMED, NEGATED, REPORTED = 8, 16, 32
+#: How far in words a negation, a person and an object reach.
+NEAR, BESIDE, AFTER_VERB, BEFORE_VERB = 4, 6, 3, 3
+THREAT_WEIGHT = 6.0
+#: What a clause pays for its heads by pattern. An insult counts in full with a person beside it; a threat without one is no clause of this grammar.
+FULL, BARE, UNDER_NEGATION, UNDER_REPORT = 1.0, 0.5, 0.1, 0.15
 MARKS = ".,!?;:\"'()[]{}<>*#$%&|-_~`"
 CLAUSE_ENDS = tuple(".!?;:|")
+ENDS = 8
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Reads word classes; each arc moves to a state and puts out a factor for the word's weight."""
+    """A sequential machine: arcs[state, symbol] is (next state, symbol written). What has no arc is copied and keeps the state."""
 
-    start: int
-    states: int
-    arcs: dict[tuple[int, int], tuple[int, float]] = field(hash=False)
+    arcs: dict[tuple[int, int], tuple[int, int]]
 
-    def step(self, state: int, word: int) -> tuple[int, float]:
-        return self.arcs.get((state, word), (state, 1.0))
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        return self.arcs.get((state, symbol), (state, symbol))
 
-    def compose(self, other: Transducer) -> Transducer:
-        """The machine that runs both over one input: states pair up and factors multiply."""
-        arcs = {}
-        for p, q, word in product(range(self.states), range(other.states), range(6)):
-            (p2, f), (q2, g) = self.step(p, word), other.step(q, word)
-            arcs[p * other.states + q, word] = (p2 * other.states + q2, f * g)
-        return Transducer(self.start * other.states + other.start, self.states * other.states, arcs)
+    def run(self, tape: Iterable[int]) -> list[int]:
+        state, out, arcs = 0, [], self.arcs
+        for symbol in tape:
+            state, symbol = arcs.get((state, symbol), (state, symbol))
+            out.append(symbol)
+        return out
 
+    def then(self, other: Transducer) -> Transducer:
+        """The machine that reads once and writes what other writes on reading what this one writes."""
+        number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+        while todo:
+            p, q = todo.pop()
+            for symbol in SYMBOLS:
+                p2, between = self.step(p, symbol)
+                q2, written = other.step(q, between)
+                if (p2, q2) not in number:
+                    number[p2, q2] = len(number)
+                    todo.append((p2, q2))
+                arcs[number[p, q], symbol] = number[p2, q2], written
+        return Transducer(arcs)
 
-# Only insults and threats put out weight; a threat needs a target before or after it to count in full.
-INSULTS = Transducer(0, 1, {(0, w): (0, 1.0 if w in (INSULT, THREAT) else 0.0) for w in range(6)})
-THREATENING = Transducer(0, 2, {(0, THREAT): (1, 0.5), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0)})
-AIMED = Transducer(0, 2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (1, THREAT): (1, 1.5)})
-NEGATED = Transducer(0, 2, {(0, NEGATION): (1, 1.0), (1, INSULT): (1, 0.4), (1, THREAT): (1, 0.4)})
-REPORTED = Transducer(0, 2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.6)})
-GRAMMAR = INSULTS.compose(THREATENING).compose(AIMED).compose(NEGATED).compose(REPORTED)
 
+def _symbols() -> list[int]:
+    marks = [a | n | r for a in (0, AIMED) for n in (0, NEGATED) for r in (0, REPORTED)]
+    return [k | m for k in range(NOTHING) for m in (marks if k in (INSULT, THREAT) else (0,))]
+
+
+SYMBOLS = _symbols()
+
+
+def marker(triggers: tuple[int, ...], heads: tuple[int, ...], mark: int, reach: int | None) -> Transducer:
+    """Marks heads that stand at most `reach` words after a trigger, or anywhere after one in the clause. State k: k more words are in reach."""
+    arcs = {}
+    for state in range((reach or 1) + 1):
+        for symbol in SYMBOLS:
+            kind = symbol & 7
+            left = max(0, state - 1) if reach else state
+            if kind in triggers:
+                arcs[state, symbol] = reach or 1, symbol
+            else:
+                arcs[state, symbol] = left, symbol | mark if state and kind in heads else symbol
+    return Transducer(arcs)
+
+
+def cascade(*machines: Transducer) -> Transducer:
+    first, *rest = machines
+    for m in rest:
+        first = first.then(m)
+    return first
+
+
+_HEADS, _PEOPLE = (INSULT, THREAT), (TARGET, OBJECT)
+#: A machine sees only what it has read, so there are two: one reads a clause forwards, the other reads backwards what the first has written.
+FORWARD = cascade(marker((NEGATION,), _HEADS, NEGATED, NEAR), marker((REPORT,), _HEADS, REPORTED, None), marker(_PEOPLE, (INSULT,), AIMED, BESIDE), marker((OBJECT,), (THREAT,), AIMED, BEFORE_VERB))
+BACKWARD = cascade(marker((NEGATION,), _HEADS, NEGATED, NEAR), marker((REPORT,), _HEADS, REPORTED, None), marker(_PEOPLE, (INSULT,), AIMED, BESIDE), marker(_PEOPLE, (THREAT,), AIMED, AFTER_VERB))
 
-def bare(word: str) -> str:
-    return word.strip(MARKS).lower()
 
+def payment(symbol: int) -> float:
+    """What a marked head pays, as a share of its word's weight."""
+    kind = symbol & 7
+    if kind not in _HEADS:
+        return 0.0
+    full = FULL if symbol & AIMED else BARE if kind == INSULT else 0.0
+    return full * (UNDER_NEGATION if symbol & NEGATED else 1.0) * (UNDER_REPORT if symbol & REPORTED else 1.0)
 
-def stems(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+
+PAYS = [payment(s) for s in range(64)]
+
+
+def read_clause(tape: list[int]) -> list[int]:
+    """The tape of a clause with its heads marked."""
+    return BACKWARD.run(reversed(FORWARD.run(tape)))[::-1]
+
+
+def bare(word: str) -> str:
+    return word.strip(MARKS).lower()
 
 
 @dataclass
@@ -84,49 +155,54 @@ class Model:
 
 
 class Reader(dict):
-    """Class and weight of each raw word as one number, worked out once: class + 8 if it ends a clause, and the weight beside."""
+    """Class of each raw word, worked out once, and ENDS beside it if it ends a clause."""
 
     SIZE = 400_000
+    HEAD = np.isin(np.arange(16) & 7, _HEADS)
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, raw: str) -> tuple[int, float] | None:
+    def __missing__(self, raw: str) -> int:
         word = bare(raw)
-        kind, weight = OTHER, 0.0
-        if found := [x for s in stems(word) if (x := self.lexicon.get(s)) is not None] if word else []:
-            kind, weight = INSULT, max(found)
-        elif word in THREATS:
-            kind, weight = THREAT, THREAT_WEIGHT
+        if not word:
+            kind = NOTHING
+        elif word in self.lexicon:
+            kind = INSULT
         else:
-            kind = TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
-        ends = raw.endswith(CLAUSE_ENDS)
-        got = None if kind == OTHER and not ends else (kind, weight, ends)
+            kind = next((k for words, k in CLASSES if word in words), OTHER)
+        got = kind | ENDS if raw.endswith(CLAUSE_ENDS) else kind
         if len(self) >= self.SIZE:
             self.clear()
-        self[raw] = got
+        if len(raw) <= 64:
+            self[raw] = got
         return got
 
     def evidence(self, text: str) -> tuple[float, float, float]:
-        """log(1 + x) of the sum of clause weights, of the greatest, and of the number of clauses with any."""
+        """log(1 + x) of the sum of clause scores, of the greatest, and of the number of clauses with any. A clause ends at a mark or a line's end."""
+        raw = text.replace("\n", " . ").split()
+        codes = np.fromiter(map(self.__getitem__, raw), np.uint8, len(raw))
+        heads = np.nonzero(self.HEAD[codes])[0]
+        if not len(heads):
+            return 0.0, 0.0, 0.0
+        ends = np.append(np.nonzero(codes & ENDS)[0], len(raw) - 1)
         total = top = 0.0
         clauses = 0
-        for line in text.split("\n"):
-            state, here = GRAMMAR.start, 0.0
-            for got in filter(None, map(self.__getitem__, line.split())):
-                kind, weight, ends = got
-                if kind:
-                    state, factor = GRAMMAR.step(state, kind)
-                    here += factor * weight
-                if ends:
-                    if here:
-                        total, top, clauses = total + here, max(top, here), clauses + 1
-                    state, here = GRAMMAR.start, 0.0
+        for k in np.unique(np.searchsorted(ends, heads)).tolist():
+            start, stop = int(ends[k - 1]) + 1 if k else 0, int(ends[k]) + 1
+            kinds = codes[start:stop] & 7
+            some = kinds != NOTHING
+            marked = read_clause(kinds[some].tolist())
+            places = (np.nonzero(some)[0] + start).tolist()
+            here = sum(pays * self.weight(raw[i]) for i, symbol in zip(places, marked, strict=True) if (pays := PAYS[symbol]))
             if here:
                 total, top, clauses = total + here, max(top, here), clauses + 1
         return math.log1p(total), math.log1p(top), math.log1p(clauses)
 
+    def weight(self, raw: str) -> float:
+        return self.lexicon.get(bare(raw), THREAT_WEIGHT)
+
 
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of the id as text leaves 0 on division by 5; a null id counts as empty text, and so is held out."""
@@ -141,8 +217,8 @@ def _sketch(text: str) -> int:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of label_col, from at most `labelled` labelled rows that aren't held out; near copies among them count once in the lexicon.
 
-    Word and stem counts are made by Spark; the driver gets the lexicon (at most LEXICON entries) and three numbers a
-    labelled row. Labels that are null are left out; of several for one id the largest holds. Without labels of both kinds the model
+    Word counts are made by Spark; the driver gets the lexicon (words in DOCUMENTS or more of the positive rows, so `labelled` bounds it too) and
+    three numbers a labelled row. Labels that are null are left out; of several for one id the largest holds. Without labels of both kinds the model
     gives every text the base rate (0 without labels).
     """
     chosen = (
@@ -171,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: st
         seen: dict[str, list[int]] = {}
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for s in {s for w in set(map(bare, text.as_py().split())) if w for s in stems(w)}:
+                for s in {w for w in map(bare, text.as_py().split()) if w}:
                     seen.setdefault(s, [0, 0])[y > 0] += 1
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["s", "no", "yes"])
@@ -181,22 +257,34 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: st
     found = (
         texts(docs, id_col, text_col).join(F.broadcast(once), "doc_id").select("label", "text").mapInArrow(counts, "s string, no bigint, yes bigint")
         .groupBy("s").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-        .where(F.col("yes") >= max(2, SUPPORT * positive))
+        .where(F.col("yes") >= DOCUMENTS)
         .withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
-        .orderBy(F.desc("yes"), "s").limit(LEXICON)
     )
-    lexicon = {r.s: min(8.0, r.odds) for r in found.collect()}
+    lexicon = {r.s: r.odds for r in found.collect()}
     rows = evidence(train.select("doc_id", "text", "label"), lexicon, "label").select("e0", "e1", "e2", "label").collect()
     x = np.array([[1.0, r.e0, r.e1, r.e2] for r in rows])
     y = np.array([float(r.label > 0) for r in rows])
-    w = np.zeros(4)
-    for _ in range(30):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        gradient = x.T @ (p - y) + 0.01 * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-    return Model(lexicon, w.tolist())
+    return Model(lexicon, calibrated(x, y))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Ridge logistic regression by Newton steps, first column the constant. More evidence must not lower a score: a feature that would goes."""
+    used = list(range(x.shape[1]))
+    while True:
+        f = x[:, used]
+        ridge = np.diag([0.01] + [0.1] * (len(used) - 1))
+        w = np.zeros(len(used))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(f @ w, -40, 40)))
+            step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + ridge, f.T @ (p - y) + ridge @ w)
+            w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        if not (w[1:] < 0).any():
+            break
+        used.pop(1 + int(w[1:].argmin()))
+    out = [0.0] * x.shape[1]
+    for k, v in zip(used, w.tolist(), strict=True):
+        out[k] = v
+    return out
 
 
 def evidence(t: DataFrame, lexicon: dict[str, float], *kept: str) -> DataFrame:
@@ -221,7 +309,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that score under limit; texts are read where they stand, and nothing is shuffled."""
+    """The rows of docs, all columns, that score under limit; texts are read where they stand, and nothing is shuffled.
+
+    Each row is judged by its own text alone: repeated rows go or stay together, null ids too. Null and empty texts score as no evidence and
+    stay unless the base rate is over limit. Other columns may have any name. No rows give none.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -81,3 +81,35 @@ def secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def toxic_evidence(text, lexicon, lists, marks, numbers):
+    """(sum of clause scores, greatest, clauses with any), each head looked at by itself. lists: threats, objects, targets, negations, reports."""
+    threats, objects, targets, negations, reports = lists
+    threat_weight, full, alone, negated, reported = numbers
+    clauses, now = [], []
+    for line in (text or "").split("\n"):
+        for raw in line.split():
+            if w := raw.strip(marks).lower():
+                now.append(w)
+            if raw[-1] in ".!?;:|":
+                clauses.append(now)
+                now = []
+        clauses.append(now)
+        now = []
+    scores = []
+    for c in clauses:
+        score = 0.0
+        kinds = ["I" if w in lexicon else "T" if w in threats else "Q" if w in objects else "P" if w in targets else "N" if w in negations else "R" if w in reports else "" for w in c]
+        near = lambda i, kind, before, after, k=kinds: any(x and x in kind for x in k[max(0, i - before) : i] + k[i + 1 : i + 1 + after])
+        for i, w in enumerate(c):
+            if kinds[i] not in ("I", "T"):
+                continue
+            if kinds[i] == "I":
+                pays = lexicon[w] * (full if near(i, "PQ", 6, 6) else alone)
+            else:
+                pays = threat_weight * full * (near(i, "Q", 3, 0) or near(i, "PQ", 0, 3))
+            score += pays * (negated if near(i, "N", 4, 4) else 1) * (reported if "R" in kinds else 1)
+        scores.append(score)
+    hit = [x for x in scores if x]
+    return sum(hit), max(hit, default=0.0), len(hit)

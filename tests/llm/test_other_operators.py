@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -19,24 +21,64 @@ from finlattice.llm import chat_format, embedding_dedup, toxicity  # noqa: E402
 DATA = "/root/testdata/sf0.01"
 
 
-def test_grammar_composes():
-    def weight(*words):
-        state, total = toxicity.GRAMMAR.start, 0.0
-        for w in words:
-            state, f = toxicity.GRAMMAR.step(state, w)
-            total += f
-        return total
+def test_what_one_machine_writes_the_next_one_reads():
+    r = random.Random(6)
+    for one, two in ((toxicity.marker((5,), (1, 2), 16, 4), toxicity.marker((3, 4), (1,), 8, 6)), (toxicity.marker((6,), (1, 2), 32, None), toxicity.Transducer({(0, 1 | 32): (1, 0), (1, 1 | 32): (0, 2)}))):
+        both = one.then(two)
+        for _ in range(200):
+            tape = [r.choice(toxicity.SYMBOLS) for _ in range(r.randrange(30))]
+            assert both.run(tape) == two.run(one.run(tape))
 
-    plain = weight(toxicity.INSULT)
-    assert weight(toxicity.OTHER, toxicity.TARGET) < plain * 2 and weight(toxicity.TARGET, toxicity.INSULT) > plain
-    assert weight(toxicity.NEGATION, toxicity.INSULT) < plain and weight(toxicity.REPORT, toxicity.INSULT) < plain
-    assert weight(toxicity.REPORT, toxicity.NEGATION, toxicity.INSULT) < weight(toxicity.NEGATION, toxicity.INSULT)
-    assert weight(toxicity.TARGET, toxicity.THREAT) > weight(toxicity.THREAT)
 
+def twin(text, lexicon):
+    lists = (toxicity.THREATS, toxicity.OBJECTS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)
+    return brute.toxic_evidence(text, lexicon, lists, toxicity.MARKS, (toxicity.THREAT_WEIGHT, toxicity.FULL, toxicity.BARE, toxicity.UNDER_NEGATION, toxicity.UNDER_REPORT))
 
-def test_clauses_end():
-    r = toxicity.Reader({"fool": 2.0})
-    assert r.evidence("not a fool") < r.evidence("not. a fool") and r.evidence("") == (0.0, 0.0, 0.0)
+
+def test_evidence_against_a_plain_scorer(spark):
+    r = random.Random(7)
+    lexicon = {"fool": 2.0, "scum": 4.5, "of": 1.5}
+    words = [*lexicon, "kill", "beat", "you", "him", "dich", "not", "never", "said", "a", "b", "c", "d", "the", ",", "-", "|", "Fool!", "YOU,", "kill.", "(scum)", "x:"]
+    texts = [r.choice([" ", "  ", "\t"]).join(r.choice(words) for _ in range(r.randrange(25))) + r.choice(["", "\n", "\r\n"]) + " ".join(r.choice(words) for _ in range(r.randrange(9))) for _ in range(3000)]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", None, "you fool " * 20000]
+    reader = toxicity.Reader(lexicon)
+    hits = 0
+    for t in texts:
+        want = twin(t, lexicon)
+        assert np.allclose(np.expm1(reader.evidence(t or "")), want), t
+        hits += want[0] > 0
+    assert hits > 1000
+
+
+def test_registered_query_against_a_plain_scorer(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, folder).collect()}
+    for r in docs.collect():
+        z = model.weights[0] + np.log1p(twin(r.text, model.lexicon)) @ np.array(model.weights[1:])
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-z))) < 1e-9 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_clause_patterns(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    score = lambda t: float(model.score(np.array([toxicity.Reader(model.lexicon).evidence(t)]))[0])
+    clean = ["More trains closed this morning.", "Please close the tab and transfer more trade data tomorrow morning.", "The moral of the travel story is clear.", "Das Wort ist gut.", "kill the process", "idiot , he said"]
+    clean += ["We will not kill you.", "you are not an idiot", "The film did not kill the mood for you", "Il tue les mouches.", "Gut, du kommst.", ""]
+    toxic = ["kill you", "I will kill all of you", "Ich werde dich töten!", "you idiot", "idiot you", "They are scum and you are trash"]
+    assert [t for t in clean if score(t) >= 0.5] == [] and [t for t in toxic if score(t) < 0.5] == []
+    assert score("you idiot") > score("idiot") > score("idiot , he said") and score("not. an idiot") > score("not an idiot")
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "you fool", "a", 1.0, 2), (1, "you fool", "a", 1.0, 2), (None, None, "b", 1.0, 2)], "doc_id long, text string, label string, e0 double, score int")
+    model = toxicity.Model({"fool": 5.0}, [-3.0, 2.0, 2.0, 0.0])
+    assert toxicity.score(docs, model).count() == 3 and toxicity.without_toxic(docs, model).collect() == [(None, None, "b", 1.0, 2)]
+    labels = spark.createDataFrame([(2, 1, "x"), (3, 0, "y"), (None, 1, "z"), (3, None, "z")], "doc_id long, toxic int, text string")
+    assert toxicity.fit(docs.limit(0), labels).lexicon == {} and toxicity.fit(docs, labels).lexicon == {}
 
 
 def test_held_out_accuracy(spark):
