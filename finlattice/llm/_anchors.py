@@ -19,7 +19,9 @@ P = np.uint64(0x9E3779B97F4A7C15)
 LONGEST_RUN = 64
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
-#: place is start * LONGEST_RUN + run - 1. Texts under one id may share low, 32 bits of the text hash: each gets the places of all.
+#: An anchor with so many holders in one task, or in the bucket of its hash, is hot: its windows are dealt on by more than their anchor.
+HOT_IN_TASK, HOT_IN_BUCKET = 32, 1024
+#: place is (start * LONGEST_RUN + run - 1) * 2 + hot. Texts under one id may share low, 32 bits of the text hash: each gets the places of all.
 CANDIDATES = "id bigint, low bigint, place bigint"
 
 
@@ -89,8 +91,9 @@ def _groups(h: np.ndarray, who: np.ndarray, within: bool) -> tuple[np.ndarray, n
 def repeated_anchors(found: DataFrame, within: bool) -> DataFrame:
     """CANDIDATES: the anchors whose hash stands more than once in the corpus.
 
-    found: blobs (bucket, packed arrays) from sent(). An anchor that repeats inside one task is decided there; its holders pass by
-    a bucket of their own document and one witness goes to the bucket of the hash, so no bucket gathers a common passage.
+    found: blobs (bucket, packed arrays) from sent(). An anchor that is hot inside one task is decided there; its holders pass by
+    a bucket of their own document and one witness goes to the bucket of the hash, so no bucket gathers a common passage, and
+    all holders learn alike that it is hot.
     """
     n = 2 * partitions(found.sparkSession)
 
@@ -100,27 +103,37 @@ def repeated_anchors(found: DataFrame, within: bool) -> DataFrame:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts = unpacked(blob.as_buffer())
                 if len(parts) == 4:
-                    yield _candidates(*parts)
+                    yield _candidates(*parts, np.ones(len(parts[0]), np.int64))
                 else:
                     open_.setdefault(b, []).append(parts)
         for b in list(open_):
-            high, low, who, th, start, run, witness = map(np.concatenate, zip(*open_.pop(b), strict=True))
+            high, low, who, th, start, run, kind = map(np.concatenate, zip(*open_.pop(b), strict=True))
             h = high.astype(np.uint64) << np.uint64(8) | low
             order = np.argsort(h, kind="stable")
-            h, who, th, start, run, witness = (a[order] for a in (h, who, th, start, run, witness))
+            h, who, th, start, run, kind = (a[order] for a in (h, who, th, start, run, kind))
             group, several = _groups(h, who, within)
-            several |= np.bincount(group, witness, len(several)) > 0
-            yes = several[group] & (witness == 0)
-            yield _candidates(who[yes], th[yes], start[yes], run[yes])
+            several |= np.bincount(group, kind, len(several)) > 0
+            hot = (np.bincount(group, kind == WITNESS, len(several)) > 0) | (np.bincount(group, minlength=len(several)) >= HOT_IN_BUCKET)
+            yes = several[group] & (kind != WITNESS)
+            yield _candidates(who[yes], th[yes], start[yes], run[yes], hot[group[yes]])
 
     return found.repartition(n, "bucket").mapInArrow(match, CANDIDATES)
 
 
-def _candidates(who, th, start, run) -> pa.RecordBatch:
-    place = start.astype(np.int64) * LONGEST_RUN + run - 1
+def _candidates(who, th, start, run, hot) -> pa.RecordBatch:
+    place = (start.astype(np.int64) * LONGEST_RUN + run - 1) * 2 + hot
     return pa.RecordBatch.from_arrays([pa.array(who), pa.array(th.astype(np.int64)), pa.array(place)], ["id", "low", "place"])
 
 
+def opened(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, hot) of places, in order of their starts."""
+    place = np.sort(place)
+    return place // (2 * LONGEST_RUN), place // 2 % LONGEST_RUN + 1, place % 2 > 0
+
+
+PLAIN, WITNESS, AGAIN = range(3)
+
+
 def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
     """Blobs of the anchors (h, id, th, start, run, again) that a task holds.
 
@@ -129,16 +142,16 @@ def sent(held: list[tuple], n: int, within: bool) -> pa.RecordBatch:
     h, who, th, start, run, again = map(np.concatenate, zip(*held, strict=True))
     by_hash = np.argsort(h, kind="stable")
     group, several = _groups(h[by_hash], who[by_hash], within)
-    if within:
-        several |= np.bincount(group, again[by_hash], len(several)) > 0
+    several &= np.bincount(group, minlength=len(several)) >= HOT_IN_TASK
     done = np.empty(len(h), bool)
     done[by_hash] = several[group]
-    alone = ~done  # in document order: within a bucket ids and starts rise, and compress
+    rest = ~done  # in document order: within a bucket ids and starts rise, and compress
     witness = h[by_hash][np.nonzero(np.append(True, np.diff(group) > 0))[0][several]]
     zero = np.zeros(len(witness), np.int64)
-    keys = np.concatenate([h[alone], witness])
-    join = lambda a, kind: np.concatenate([a[alone], zero]).astype(kind)
-    columns = [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8), join(who, np.int64), join(th, np.uint32), join(start, np.uint32), join(run, np.uint8), (np.arange(len(keys)) >= alone.sum()).astype(np.uint8)]
+    keys = np.concatenate([h[rest], witness])
+    join = lambda a, kind: np.concatenate([a[rest], zero]).astype(kind)
+    kind = np.concatenate([np.where(again[rest] & within, AGAIN, PLAIN), zero + WITNESS]).astype(np.uint8)
+    columns = [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8), join(who, np.int64), join(th, np.uint32), join(start, np.uint32), join(run, np.uint8), kind]
     rows = by_bucket((keys % np.uint64(n)).astype(np.int64), n, columns)
     if done.any():
         rows += by_bucket((mixed(who[done].view(np.uint64)) % np.uint64(n)).astype(np.int64), n, [who[done], th[done].astype(np.uint32), start[done].astype(np.uint32), run[done].astype(np.uint8)])

@@ -1,4 +1,8 @@
-"""Repeated byte strings across documents: collection BWT and common prefixes, built column by column over external files."""
+"""Repeated byte strings across documents: collection BWT and common prefixes, built column by column over external files.
+
+Texts are cut into segments whose 50-byte windows share an anchor, since equal windows have equal anchors. The segments that a task holds, and
+then those that meet in the bucket of an anchor, are the documents of a collection BWT; its common prefixes alone say which windows repeat.
+"""
 
 from __future__ import annotations
 
@@ -14,20 +18,26 @@ from finlattice.llm import _anchors as A
 from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, documents, mixed, offsets, packed, partitions, spread, texts, unpacked
 
 WINDOW = 50
-#: Bytes of the grams that anchor a window.
-GRAM = 20
-#: Bytes of segments that one BWT is built over; segments of one anchor always stay together.
+#: Bytes of the grams that anchor a window, and of those that windows of a hot anchor are dealt by.
+GRAM, LONG_GRAM = 20, 40
+LONG_P = np.uint64(0xC6BC279692B5C323)
+#: Bytes of a symbol of the BWT. A segment is read as so many documents, one from each of its first bytes on.
+SYMBOL = 8
+#: Bytes of segments from which on a BWT is closed; segments of one anchor always stay together.
 BLOCK_BYTES = 1 << 18
 #: Bytes of segments that a task holds before it sends them on.
-HELD_BYTES = 8 << 20
-OPEN = np.uint8(0xFF)  # no byte of UTF-8 text: a place in the BWT whose symbol isn't known yet
+HELD_BYTES = 4 << 20
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 class Columns:
-    """The growing columns (symbol, common prefix, suffix) as files that each round reads and writes from front to end."""
+    """The growing columns as files that each round reads from front to end and writes anew with its suffixes merged in.
+
+    A row is a distinct suffix: its first symbol, the row of what follows that symbol, the bytes it shares with the row before, and
+    its number. (row of the rest, first symbol) is the BWT's entry: the symbol that stands before that row's suffix.
+    """
 
-    KINDS = (("bwt", np.uint8), ("lcp", np.uint8), ("suffix", np.int32))
+    KINDS = (("first", np.uint64), ("rest", np.int32), ("lcp", np.uint8), ("number", np.int32))
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -40,60 +50,115 @@ class Columns:
         return [np.fromfile(os.path.join(self.folder, name), kind) for name, kind in self.KINDS]
 
 
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, longest: np.ndarray) -> np.ndarray:
-    """Bytes that the suffixes at a and b share at the front, at most `longest`; words[i] holds bytes i to i+7."""
-    got = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for k in range(0, WINDOW + 7, 8):
-        x = words[a[live] + k] ^ words[b[live] + k]
-        same = x == 0
-        got[live] += np.where(same, 8, np.bitwise_count((x & -x) - np.uint64(1)) >> 3)
-        live = live[same]
-        if not len(live):
-            break
-    return np.minimum(got, longest)
+def symbols(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, bytes left) at each byte: SYMBOL bytes as a number that sorts like them, with zeros past the segment's end."""
+    padded = np.concatenate([text, np.zeros(SYMBOL, np.uint8)])
+    w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SYMBOL)[: len(text)]).view(">u8").ravel().astype(np.uint64)
+    left = np.repeat(offsets(lengths)[1:], lengths) - np.arange(len(text))
+    short = np.nonzero(left < SYMBOL)[0]
+    w[short] &= ~((np.uint64(1) << (np.uint64(8) * (SYMBOL - left[short]).astype(np.uint64))) - np.uint64(1))
+    return w, left
+
+
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that two symbols share at the front."""
+    x = a ^ b
+    for s in (1, 2, 4, 8, 16, 32):
+        x |= x >> np.uint64(s)
+    return (64 - np.bitwise_count(x).astype(np.int64)) >> 3
+
+
+def range_min(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of a[low] to a[high], for each pair."""
+    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    out, table = np.empty(len(low), a.dtype), a
+    for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[:-half], table[half:])
+        here = np.nonzero(level == k)[0]
+        if len(here):
+            out[here] = np.minimum(table[low[here]], table[high[here] - (1 << k) + 1])
+    return out
 
 
-def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(BWT, common prefixes up to cap, suffix starts) of documents laid end to end; the empty suffixes stand first, in document order.
+def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves the collection's columns in their files; returns (the number of the row of each byte's suffix, bytes left there).
 
-    Round r inserts, for each document longer than r, the suffix one symbol longer than its last: the symbol is put where the last
-    suffix stands in the BWT, and its rank there says where the new suffix goes. Common prefixes change only beside new suffixes.
+    Round r puts one more symbol before the suffix of every document longer than r. Suffixes are those of the text with zeros after its
+    end; equal ones that come up in one round are one row, so copies cost a row once. Where a new suffix goes follows from its symbol and
+    the place of the suffix it extends. Common prefixes (up to cap) change only beside new rows: where first symbols
+    differ they say so, else what the rests share is the least of the last round's column between the two rests.
     """
-    m, begin = len(lengths), offsets(lengths)
-    end = begin[1:]
-    padded = np.concatenate([text, np.zeros(WINDOW + 16, np.uint8)])
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
-    place = np.arange(m)
-    columns.write(np.full(m, OPEN), np.zeros(m, np.uint8), end)
-    by_length = np.argsort(-lengths, kind="stable")
-    falling = -lengths[by_length]
-    depth_of = np.repeat(end, lengths)  # end of the document that a byte belongs to
-    for r in range(int(lengths.max(initial=0))):
-        bwt, lcp, suffix = columns.read()
-        live = by_length[: np.searchsorted(falling, -r, "left")]
-        at = place[live]
-        start = end[live] - 1 - r
-        bwt[at] = text[start]
-        order = np.argsort(bwt, kind="stable")
-        known = len(bwt) - int(np.count_nonzero(bwt == OPEN))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order[:known]] = np.arange(m, m + known)
-        to = rank[at]
-        place[live] = to
-        size = m + known
-        fresh = np.zeros(size, bool)
-        fresh[to] = True
-        old = ~fresh
-        bwt2, lcp2, suffix2 = np.full(size, OPEN), np.zeros(size, np.uint8), np.empty(size, np.int32)
-        bwt2[old], lcp2[old], suffix2[old] = bwt, lcp, suffix
-        suffix2[to] = start
-        beside = np.unique(np.concatenate([to, to[to + 1 < size] + 1]))
-        beside = beside[beside > m]  # the suffix before is not empty
-        a, b = suffix2[beside - 1].astype(np.int64), suffix2[beside].astype(np.int64)
-        lcp2[beside] = _common(words, a, b, np.minimum(cap, np.minimum(depth_of[a] - a, depth_of[b] - b)))
-        columns.write(bwt2, lcp2, suffix2)
-    return tuple(columns.read())
+    w, left = symbols(text, lengths)
+    round_of = (left - 1) // SYMBOL
+    order = np.argsort(round_of.astype(np.uint8), kind="stable")
+    edge = np.searchsorted(round_of[order], np.arange(int(round_of.max(initial=-1)) + 2))
+    place, number_of = np.zeros((2, len(text) + SYMBOL), np.int32)
+    columns.write(*(np.zeros(1, kind) for _, kind in Columns.KINDS))  # the empty suffix
+    made = 1
+    for r in range(len(edge) - 1):
+        first, rest, lcp, number = columns.read()
+        at = order[edge[r] : edge[r + 1]]
+        n, c = len(first), w[at]
+        p = place[at + SYMBOL] if r else np.zeros(len(at), np.int32)
+        by = np.argsort(c)
+        rank = np.empty(len(at), np.int64)
+        rank[by] = np.cumsum(np.append(False, np.diff(c[by]) != 0))
+        key = rank * n + p
+        by = np.argsort(key)
+        new = np.append(True, np.diff(key[by]) != 0)
+        c, p = c[by[new]], p[by[new]]
+        # Rows stand by first symbol, then by the row of the rest.
+        head = np.append(True, first[1:] != first[:-1])
+        starts = np.nonzero(head)[0]
+        k = np.searchsorted(first[starts], c)
+        known = k < len(starts)
+        known[known] = first[starts[k[known]]] == c[known]
+        before = np.append(starts, n)[k]
+        if known.any():
+            before[known] = np.searchsorted((np.cumsum(head) - 1) * n + rest, k[known] * n + p[known])
+        to = before + np.arange(len(c))
+        moved = np.arange(n) + np.cumsum(np.bincount(before, minlength=n + 1))[:n]
+
+        def merged(old, fresh, moved=moved, to=to):
+            out = np.empty(len(old) + len(to), old.dtype)
+            out[moved], out[to] = old, fresh
+            return out
+
+        first, rest = merged(first, c), merged(rest, p)
+        size = len(first)
+        touched = np.zeros(size + 1, bool)
+        touched[to] = touched[to + 1] = True
+        b = np.nonzero(touched[1:size])[0] + 1
+        got = shared_bytes(first[b - 1], first[b])
+        same = np.nonzero(got == SYMBOL)[0]
+        low, high = rest[b[same] - 1] + 1, rest[b[same]]
+        apart = low <= high
+        got[same] = cap  # one rest: nothing but zeros in both
+        got[same[apart]] = np.minimum(cap, SYMBOL + range_min(lcp, low[apart], high[apart]).astype(np.int64))
+        lcp = merged(lcp, np.uint8(0))
+        lcp[b] = np.minimum(got, cap)
+        columns.write(first, moved[rest], lcp, merged(number, np.arange(made, made + len(c), dtype=np.int32)))
+        which = np.cumsum(new) - 1
+        place[at[by]], number_of[at[by]] = to[which], made + which
+        made += len(c)
+    return number_of[: len(text)], left
+
+
+def repeated_windows(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, columns: Columns) -> np.ndarray:
+    """Whether the window at each byte of these segments also stands in a segment of a smaller owner."""
+    number_of, left = collection_bwt(text, lengths, columns)
+    _, _, lcp, number = columns.read()
+    class_of = np.empty(len(number), np.int64)
+    class_of[number] = np.cumsum(lcp < WINDOW) - 1
+    at = np.nonzero(left >= WINDOW)[0]
+    of, who = class_of[number_of[at]], np.repeat(owner, lengths)[at]
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, who)
+    out = np.zeros(len(text), bool)
+    out[at] = who > least[of]
+    return out
 
 
 def anchor_of(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -105,123 +170,90 @@ def anchor_of(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_windows(segments: list[bytes], owner: np.ndarray, folder: str) -> list[tuple[int, int]]:
-    """(segment, offset) of the windows that also stand in a segment of a smaller owner.
-
-    Segments whose windows can be equal share an anchor and stay together. Windows whose hash stands with one owner alone are left out before
-    the BWT is built; the BWT's common prefixes decide about the rest, byte by byte.
-    """
-    out: list[tuple[int, int]] = []
-    if not segments:
-        return out
-    sizes = np.array([len(s) for s in segments], np.int64)
-    group = anchor_of(np.frombuffer(b"".join(segments), np.uint8), offsets(sizes)[:-1])
-    order = np.argsort(group, kind="stable")
-    lengths = sizes[order]
-    text = np.frombuffer(b"".join([segments[i] for i in order]), np.uint8)
+def judged(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the window at each byte repeats one of a smaller owner, anchor of each segment), by blocks of whole anchors."""
     begin = offsets(lengths)
-    at = spread(begin[:-1], np.maximum(0, lengths - WINDOW + 1))
-    seg = np.repeat(np.arange(len(order)), np.maximum(0, lengths - WINDOW + 1))
-    h = A.grams(_TABLE[text], WINDOW)[at]
-    by_hash = np.argsort(h, kind="stable")
-    who = owner[order][seg][by_hash]
-    cls, several = A._groups(h[by_hash], who, False)
-    hit = np.zeros(len(h), bool)
-    hit[by_hash] = several[cls]
-    if not hit.any():
-        return out
-    at, seg = at[hit], seg[hit]
-    first = np.nonzero(np.append(True, seg[1:] != seg[:-1]))[0]
-    used = seg[first]
-    low = at[first]
-    high = at[np.append(first[1:], len(at)) - 1] + WINDOW
-    # What is left of segments beside a common passage is often the same: its least owner stands for all, the others repeat it whole.
-    best: dict[bytes, int] = {}
-    holder = owner[order][used]
-    stays = np.ones(len(used), bool)
-    data = text.tobytes()
-    for i, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-        j = best.setdefault(data[x:y], i)
-        if j == i:
-            continue
-        if holder[i] == holder[j]:  # both go on: neither is earlier
+    group = anchor_of(text, begin[:-1])
+    order = np.argsort(group, kind="stable")
+    g, total = group[order], offsets(lengths[order])
+    cuts = [*np.nonzero(np.append(True, g[1:] != g[:-1]))[0][1:].tolist(), len(order)]
+    out, columns, x = np.zeros(len(text), bool), Columns(folder), 0
+    for y in cuts:
+        if y < len(order) and total[y] - total[x] < BLOCK_BYTES:
             continue
-        if holder[i] < holder[j]:
-            best[data[x:y]] = i
-            i = j
-        stays[i] = False
-    gone = np.nonzero(~stays)[0]
-    count = (high - low)[gone] - WINDOW + 1
-    out += zip(np.repeat(order[used[gone]], count).tolist(), spread(low[gone] - begin[used[gone]], count).tolist(), strict=True)
-    used, low, high = used[stays], low[stays], high[stays]
-    size = high - low
-    g = group[order][used]
-    cuts = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
-    total = offsets(size)
-    edge = [0]
-    for c in [*cuts[1:].tolist(), len(used)]:
-        if c == len(used) or total[c] - total[edge[-1]] >= BLOCK_BYTES:
-            edge.append(c)
-    columns = Columns(folder)
-    for x, y in zip(edge[:-1], edge[1:], strict=True):
-        n = size[x:y]
-        part = text[spread(low[x:y], n)]
-        _, lcp, suffix = collection_bwt(part, n, columns)
-        bounds = offsets(n)
-        suffix = suffix[y - x :].astype(np.int64)
-        lcp = lcp[y - x :]
-        doc = np.searchsorted(bounds, suffix, "right") - 1
-        new = lcp < WINDOW
-        new[0] = True
-        heads = np.nonzero(new)[0]
-        who = owner[order][used[x:y]][doc]
-        least = np.repeat(np.minimum.reduceat(who, heads), np.diff(np.append(heads, len(new))))
-        yes = (bounds[doc + 1] - suffix >= WINDOW) & (who > least)
-        d = doc[yes]
-        start = suffix[yes] - bounds[d] + low[x:y][d] - begin[used[x:y]][d]
-        out += zip(order[used[x:y]][d].tolist(), start.tolist(), strict=True)
-    return out
+        part = order[x:y]
+        if y - x > 1:
+            at = spread(begin[part], lengths[part])
+            out[at] = repeated_windows(text[at], lengths[part], owner[part], columns)
+        x = y
+    return out, group
+
 
+def runs(yes: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the stretches of true values; apart: places where a stretch has to begin anew."""
+    start = yes & (apart | ~np.append(False, yes[:-1]))
+    first = np.nonzero(start)[0]
+    return first, np.bincount(np.cumsum(start)[yes] - 1, minlength=len(first)) if len(first) else first
 
-class Holders:
-    """Distinct segments with the least document that holds each; a greater holder's copy is wholly repeated and is decided at once."""
+
+class Held:
+    """Segments of a task by document and text, each with the places (th, start) where the document has it."""
 
     def __init__(self):
-        self.best: dict[bytes, list] = {}
-        self.done: list[tuple[int, int, int, int]] = []  # id, th, start, length
+        self.places: dict[tuple[int, bytes, bool], list[tuple[int, int]]] = {}
         self.size = 0
 
-    def add(self, segment: bytes, who: int, th: int, start: int) -> None:
-        now = self.best.get(segment)
+    def add(self, segment: bytes, who: int, th: int, start: int, hot: bool) -> None:
+        now = self.places.get((who, segment, hot))
         if now is None:
-            self.best[segment] = [who, [(th, start)]]
-            self.size += len(segment) + 64
-        elif who == now[0]:
-            now[1].append((th, start))
-        elif who > now[0]:
-            self.done.append((who, th, start, len(segment)))
+            self.places[who, segment, hot] = [(th, start)]
+            self.size += len(segment) + 32
         else:
-            self.done += [(now[0], t, s, len(segment)) for t, s in now[1]]
-            now[0], now[1] = who, [(th, start)]
-
-    def blobs(self, n: int) -> pa.RecordBatch:
-        rows = [(who, th, start, s) for s, (who, places) in self.best.items() for th, start in places]
+            now.append((th, start))
+            self.size += 16
+
+    def blobs(self, n: int, folder: str) -> pa.RecordBatch:
+        """What repeats a smaller document here goes to a bucket of its document as spans; what is left of the segments to the bucket of its anchor."""
+        if not self.places:
+            return blob_batch([])
+        lengths = np.array([len(s) for _, s, _ in self.places], np.int64)
+        owner, hot = np.array([w for w, _, _ in self.places], np.int64), np.array([x for *_, x in self.places], bool)
+        text, begin = np.frombuffer(b"".join([s for _, s, _ in self.places]), np.uint8), offsets(lengths)
+        times = np.array([len(v) for v in self.places.values()], np.int64)
+        th, start = np.array([p for v in self.places.values() for p in v], np.int64).reshape(-1, 2).T
+        gone, group = judged(text, lengths, owner, folder)
+        window = np.zeros(len(text), bool)
+        window[spread(begin[:-1], lengths - WINDOW + 1)] = True
+        fresh = np.zeros(len(text), bool)
+        fresh[begin[:-1]] = True
         out = []
-        if rows:
-            who, th, start, s = zip(*rows, strict=True)
-            length = np.array([len(x) for x in s], np.int64)
-            text = np.frombuffer(b"".join(s), np.uint8)
-            begin = offsets(length)
-            bucket = (anchor_of(text, begin[:-1]) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n + 1))
-            arrays = [np.array(who, np.int64), np.array(th, np.int64), np.array(start, np.uint32), length.astype(np.uint8)]
-            for b in range(n):
-                if (part := order[edges[b] : edges[b + 1]]).size:
-                    out.append((b, packed([*(a[part] for a in arrays), text[spread(begin[:-1][part], length[part])]])))
-        if self.done:
-            done = np.array(self.done, np.int64)
-            out += by_bucket((mixed(done[:, 0].copy().view(np.uint64)) % np.uint64(n)).astype(np.int64), n, [done[:, k] for k in range(4)])
+        at, count = runs(gone, fresh)
+        if len(at):
+            of = np.searchsorted(begin, at, "right") - 1
+            places = spread(offsets(times)[:-1][of], times[of])
+            low = np.repeat(at - begin[of], times[of]) + start[places]
+            done = [np.repeat(owner[of], times[of]), th[places], low, np.repeat(count + WINDOW - 1, times[of])]
+            out += by_bucket((mixed(done[0].view(np.uint64) ^ mixed(done[1].view(np.uint64))) % np.uint64(n)).astype(np.int64), n, done)
+        # Windows of a hot anchor are dealt by a longer gram beside it: runs of one such gram travel together.
+        second = np.zeros(len(text), np.uint64)
+        if hot.any():
+            least = A.minima(mixed(A.grams(_TABLE[text], LONG_GRAM, LONG_P)), WINDOW - LONG_GRAM + 1)
+            second[: len(least)] = least
+            second[~np.repeat(hot, lengths)] = 0
+            fresh[1:] |= second[1:] != second[:-1]
+        at, count = runs(window & ~gone, fresh)
+        of = np.searchsorted(begin, at, "right") - 1
+        size = count + WINDOW - 1
+        bucket = (np.where(hot[of], mixed(group[of] ^ second[at]), group[of]) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(n + 1))
+        for b in range(n):
+            if (part := order[edges[b] : edges[b + 1]]).size:
+                seg = of[part]
+                places = spread(offsets(times)[:-1][seg], times[seg])
+                low = np.repeat(at[part] - begin[seg], times[seg]) + start[places]
+                arrays = [owner[seg], times[seg].astype(np.uint32), size[part].astype(np.uint8), text[spread(at[part], size[part])], th[places], low.astype(np.uint32)]
+                out.append((b, packed(arrays)))
         return blob_batch(out)
 
 
@@ -269,26 +301,26 @@ def _find(n: int):
 
 def _cut(n: int):
     def run(batches):
-        held = Holders()
-        for batch in batches:
-            for who, th, text, places in zip(*(batch.column(i) for i in range(2)), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                who, th, data = who.as_py(), th.as_py(), text.as_buffer().to_pybytes()
-                for place in sorted(places.as_py()):
-                    start, run = divmod(place, A.LONGEST_RUN)
-                    segment = data[start : start + run + WINDOW]
-                    if len(segment) >= WINDOW:  # not a place of another text that shares id and low
-                        held.add(segment, who, th, start)
-                if held.size >= HELD_BYTES:
-                    yield held.blobs(n)
-                    held = Holders()
-        if held.best:
-            yield held.blobs(n)
+        held = Held()
+        with tempfile.TemporaryDirectory() as folder:
+            for batch in batches:
+                for who, th, text, places in zip(*(batch.column(i) for i in range(2)), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
+                    who, th, data = who.as_py(), th.as_py(), text.as_buffer().to_pybytes()
+                    for start, count, hot in zip(*(x.tolist() for x in A.opened(places.values.to_numpy())), strict=True):
+                        segment = data[start : start + count + WINDOW - 1]
+                        if len(segment) >= WINDOW:  # not a place of another text that shares id and low
+                            held.add(segment, who, th, start, hot)
+                    if held.size >= HELD_BYTES:
+                        yield held.blobs(n, folder)
+                        held = Held()
+            if held.places:
+                yield held.blobs(n, folder)
 
     return run
 
 
 def _decide(batches):
-    held, parts = Holders(), {}
+    parts: dict[int, list] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             got = unpacked(blob.as_buffer())
@@ -299,19 +331,18 @@ def _decide(batches):
                 parts.setdefault(b, []).append(got)
     with tempfile.TemporaryDirectory() as folder:
         for b in list(parts):
-            held = Holders()
-            for who, th, start, length, text in parts.pop(b):
-                data, edge = text.tobytes(), offsets(length.astype(np.int64)).tolist()
-                for row in zip(who.tolist(), th.tolist(), start.tolist(), edge[:-1], edge[1:], strict=True):
-                    held.add(data[row[3] : row[4]], *row[:3])
-            segments = list(held.best)
-            rest = list(held.best.values())
-            found = repeated_windows(segments, np.array([x[0] for x in rest], np.int64), folder)
-            out = [(*d[:3], d[2] + d[3]) for d in held.done]
-            for i, offset in found:
-                out += [(rest[i][0], th, start + offset, start + offset + WINDOW) for th, start in rest[i][1]]
-            if out:
-                yield _span_batch(*_merged(np.array(out, np.int64)))
+            owner, times, lengths, text, th, start = map(np.concatenate, zip(*parts.pop(b), strict=True))
+            times, lengths = times.astype(np.int64), lengths.astype(np.int64)
+            begin = offsets(lengths)
+            fresh = np.zeros(len(text), bool)
+            fresh[begin[:-1]] = True
+            gone, _ = judged(text, lengths, owner, folder)
+            at, count = runs(gone, fresh)
+            if len(at):
+                of = np.searchsorted(begin, at, "right") - 1
+                places = spread(offsets(times)[:-1][of], times[of])
+                low = np.repeat(at - begin[of], times[of]) + start[places].astype(np.int64)
+                yield _span_batch(*_merged(np.stack([np.repeat(owner[of], times[of]), th[places], low, low + np.repeat(count + WINDOW - 1, times[of])], axis=1)))
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:

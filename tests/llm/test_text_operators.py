@@ -63,31 +63,111 @@ def test_suffix_dedup(docs, rows):
     assert same(got, brute.byte_repeats(rows))
 
 
-def test_suffix_dedup_in_chunks(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 512)
-    docs_texts = [(i, (t or "").encode()) for i, t in rows if i is not None]
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs_texts]), pa.array([0] * len(docs_texts)), pa.array([t.decode() for _, t in docs_texts])], ["id", "th", "text"])
-    whole = sum(b.num_rows for b in suffix_dedup._find(4)(iter([batch])))
-    assert whole > 0
+def test_suffix_dedup_in_chunks(spark, docs, rows, monkeypatch):
+    """Spans do not depend on where texts are cut into chunks, tasks' holdings and blocks, nor on which anchors are hot."""
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([5, 6, 7]), pa.array(["x" * 3000, rows[3][1] * 9, "q" * 49])], ["id", "low", "text"])
+    whole = anchors_found(batch)
+    for name, value in (("CHUNK_BYTES", 512), ("HELD_BYTES", 2000), ("BLOCK_BYTES", 700)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert anchors_found(batch) == whole
+    held = suffix_dedup.Held()
+    r = random.Random(8)
+    base = "".join(r.choice("ab") for _ in range(400)).encode()
+    segments = [(base[k : k + r.randrange(50, 114)], r.randrange(9), k, bool(r.randrange(2))) for k in (r.randrange(286) for _ in range(300))]
+    hot = {suffix_dedup.anchor_of(np.frombuffer(s, np.uint8), np.zeros(1, np.int64))[0]: h for s, _, _, h in segments}
+    for s, who, k, _ in segments:
+        for seg, at in one_anchor(s):
+            held.add(seg, who, 0, 1000 * who + k + at, hot.setdefault(suffix_dedup.anchor_of(np.frombuffer(seg, np.uint8), np.zeros(1, np.int64))[0], True))
+    spans = set()
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        out = suffix_dedup._decide(iter([held.blobs(7, folder)]))
+        for b in out:
+            for who, _, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans |= {(who, at) for at in range(x, y)}
+    least: dict = {}
+    for s, who, _, _ in segments:
+        for j in range(len(s) - 49):
+            least[s[j : j + 50]] = min(who, least.get(s[j : j + 50], who))
+    want = {(who, 1000 * who + k + j + i) for s, who, k, _ in segments for j in range(len(s) - 49) if least[s[j : j + 50]] < who for i in range(50)}
+    assert spans == want
+
+
+def anchors_found(batch):
+    out = set()
+    for b in suffix_dedup._find(4)(iter([batch])):
+        for blob in b.column(1):
+            high, low, who, th, start, run, _ = suffix_dedup.unpacked(blob.as_buffer())
+            for h, l, w, t, s, r in zip(high.tolist(), low.tolist(), who.tolist(), th.tolist(), start.tolist(), run.tolist(), strict=True):
+                out |= {(h, l, w, t, s + k) for k in range(r)}
+    return out
+
+
+def one_anchor(segment):
+    """The stretches of a segment whose windows share an anchor."""
+    keys = [suffix_dedup.anchor_of(np.frombuffer(segment[k : k + 50], np.uint8), np.zeros(1, np.int64))[0] for k in range(len(segment) - 49)]
+    at = 0
+    for k in range(1, len(keys) + 1):
+        if k == len(keys) or keys[k] != keys[at]:
+            yield segment[at : k + 49], at
+            at = k
+
+
+def test_nothing_is_removed_without_the_bwt(spark, monkeypatch):
+    """Whole copies of a text aside, only common prefixes of the BWT remove bytes."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, f"{k} {k * 7} start {passage} end {k * 11}") for k in range(6)] + [(9, f"0 0 start {passage} end 0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    removed = lambda: {r[0]: r[1] for r in suffix_dedup.remove_repeats(frame).select("doc_id", length).collect()}
+    assert all(n > 100 for i, n in removed().items() if i)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 0]), pa.array([t for _, t in rows[:2]]), pa.array([[k * 128 for k in range(120)]] * 2)], ["id", "th", "text", "places"])
+    spans = lambda: sum(b.num_rows for b in suffix_dedup._decide(suffix_dedup._cut(3)(iter([batch]))))
+    assert spans()
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda text, lengths, owner, columns: np.zeros(len(text), bool))
+    assert not spans()
+
+
+def test_hot_anchors_spread_over_buckets(tmp_path):
+    """Many documents that share one short phrase: their segments go to all buckets alike."""
+    r = random.Random(2)
+    pool = "".join(r.choice("abcdefgh ") for _ in range(200_000)).encode()
+    h = suffix_dedup.mixed(suffix_dedup.A.grams(suffix_dedup._TABLE[np.frombuffer(pool, np.uint8)], suffix_dedup.GRAM))
+    phrase = pool[(k := int(h.argmin())) : k + suffix_dedup.GRAM]
+    held = suffix_dedup.Held()
+    for i in range(2000):
+        text = bytes(r.choice(b"ijklmnop") for _ in range(30)) + phrase + bytes(r.choice(b"ijklmnop") for _ in range(30))
+        held.add(text, i, 0, 0, True)
+    sizes: dict = {}
+    for b, blob in zip(*(c.to_pylist() for c in held.blobs(16, str(tmp_path)).columns), strict=True):
+        sizes[b] = sizes.get(b, 0) + len(blob)
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * sum(sizes.values()) / 16
 
 
 def test_collection_bwt_sorts_all_suffixes(tmp_path):
     r = random.Random(3)
-    parts = [bytes(r.choice(b"abc") for _ in range(r.randrange(0, 40))) for _ in range(12)]
-    n = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    bwt, lcp, suffix = suffix_dedup.collection_bwt(text, n, suffix_dedup.Columns(str(tmp_path)))
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    own = [(text[s : bounds[np.searchsorted(bounds, s, "right")]].tobytes(), s) for s in suffix[len(n) :].tolist()]
-    assert [x[0] for x in own] == sorted(x[0] for x in own) and len(own) == len(text)
-    for k in range(1, len(own)):
-        a, b = own[k - 1][0], own[k][0]
-        common = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-        assert lcp[len(n) + k] == min(50, common)
-    for (s, at), c in zip(own, bwt[len(n) :].tolist(), strict=True):
-        assert c == (0xFF if at in bounds[:-1] else text[at - 1])
+    for letters in (b"abc", b"a\0", bytes(range(256))):
+        parts = [bytes(r.choice(letters) for _ in range(r.randrange(1, 114))) for _ in range(12)] + [b"ab" * 30, b"ab" * 30]
+        n = np.array([len(p) for p in parts])
+        columns = suffix_dedup.Columns(str(tmp_path))
+        number_of, left = suffix_dedup.collection_bwt(np.frombuffer(b"".join(parts), np.uint8), n, columns)
+        first, rest, lcp, number = columns.read()
+        suffixes = [p[k:] for p in parts for k in range(len(p))]
+        assert left.tolist() == [len(s) for s in suffixes]
+        row_of = np.argsort(number)
+        text = {0: b""}
+        for i, s in enumerate(suffixes):
+            assert text.setdefault(int(number_of[i]), s).rstrip(b"\0") == s.rstrip(b"\0")
+        padded = [(text[k] + bytes(200))[:200] for k in number.tolist()]
+        assert padded == sorted(padded) and len(text) == len(number)
+        for k in range(1, len(padded)):
+            assert lcp[k] == min(50, next((j for j in range(113) if padded[k - 1][j] != padded[k][j]), 50))
+        for k, s in enumerate(padded):
+            symbol = text[int(number[k])]
+            assert int(first[k]) == int.from_bytes(s[:8], "big") and padded[rest[k]][:120] == (symbol[8:] + bytes(200))[:120]
+        assert sorted(row_of[number]) == list(range(len(number)))
 
 
 def test_substring_dedup(docs, rows):
