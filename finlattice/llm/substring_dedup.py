@@ -141,17 +141,18 @@ def _find(n: int):
 
 def _cut(n: int):
     def flush(held):
-        h, who, th, start, edge = map(np.concatenate, zip(*held, strict=True))
+        h, who, th, start, edge, hot = map(np.concatenate, zip(*held, strict=True))
         done, first = _settled(h, edge, who, th, start)
-        h, who, th, start, edge = (a[first] for a in (h, who, th, start, edge))
+        h, who, th, start, edge, hot = (a[first] for a in (h, who, th, start, edge, hot))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)
+        new[1:] = hot[1:] | hot[:-1] | (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.nonzero(new)[0]
         since = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
         at = np.nonzero(since % A.LONGEST_RUN == 0)[0]  # anchors of one hash that follow one another are one stretch here; a run is sent as a byte
         run = np.diff(np.append(at, len(h)))
         out = []
-        bucket = (h[at] % np.uint64(n)).astype(np.int64)
+        # Edges of an anchor that many hold are dealt out one by one.
+        bucket = (np.where(hot[at], mixed(edge[at]), h[at]) % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(n + 1))
         for b in range(n):
@@ -167,14 +168,14 @@ def _cut(n: int):
         for batch in batches:
             for who, th, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 words = word_hashes(text.as_buffer().to_pybytes())
-                place = np.sort(places.values.to_numpy())
-                begin, count = place // A.LONGEST_RUN, place % A.LONGEST_RUN + 1
                 if len(words) < K:
                     continue
+                begin, count, hot = A.opened(places.values.to_numpy())
                 h = A.minima(mixed(A.grams(words, GRAM)), K - GRAM + 1)
-                at = spread(begin, count)
-                at = at[at < len(h)]  # places of another text that shares id and low may lie past the end
-                held.append((h[at], np.full(len(at), who), np.full(len(at), th), at, edges(words)[at]))
+                at, hot = spread(begin, count), np.repeat(hot, count)
+                inside = at < len(h)  # places of another text that shares id and low may lie past the end
+                at, hot = at[inside], hot[inside]
+                held.append((h[at], np.full(len(at), who), np.full(len(at), th), at, edges(words)[at], hot))
                 size += len(at)
                 if size >= HELD_EDGES:
                     yield flush(held)
@@ -185,6 +186,24 @@ def _cut(n: int):
     return run
 
 
+def _decide(batches):
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            got = unpacked(blob.as_buffer())
+            if len(got) == len(FRAGMENT):
+                yield _fragment_batch(got)
+            else:
+                parts.setdefault(b, []).append(got)
+    for b in list(parts):
+        h, who, th, start, run, edge = map(np.concatenate, zip(*parts.pop(b), strict=True))
+        run = run.astype(np.int64)
+        wide = [np.repeat(a, run) for a in (h, who, th)]
+        done, _ = _settled(wide[0], edge, wide[1], wide[2], spread(start.astype(np.int64), run))
+        if done:
+            yield _fragment_batch(done)
+
+
 def _fragment_batch(columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], list(FRAGMENT))
 
@@ -252,7 +271,7 @@ def _remove(batches):
             for p in sorted(paths or (), key=lambda p: p["start"]):
                 s, n = p["start"], p["n"]
                 if _digest(words, s, n) != p["digest"]:
-                    raise ValueError("two different windows share an edge and an anchor hash; change EDGE_P and run again")
+                    continue  # the words at the two coordinates differ: no passage
                 if spans and s <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], s + n + K - 1)
                 else:
@@ -271,8 +290,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of 20 words that covers it also starts earlier: in a document with a smaller id, or before it in its own. Null texts have
     no words; texts under 20 words never change. Null ids count as one id larger than all; different texts with one id are ordered by a
-    hash of the text, and equal rows don't remove one another. Other columns are not read; no rows give no rows. Should a span's words
-    differ from those at its source's coordinates (a hash collision), the run stops with an error rather than remove it.
+    hash of the text, and equal rows don't remove one another. Other columns are not read; no rows give no rows. A path whose words
+    differ from those at its source's coordinates (128 hash bits would have to agree by chance) is no passage, and stays.
     """
     base = keyed(docs, id_col, text_col)
     n = 2 * partitions(docs.sparkSession)
