@@ -19,14 +19,14 @@ from finlattice.llm._common import BLOB, CHUNK_BYTES, blob_batch, by_bucket, doc
 
 WINDOW = 50
 #: Bytes of the grams that anchor a window, and of those that windows of a hot anchor are dealt by.
-GRAM, LONG_GRAM = 20, 40
+GRAM, LONG_GRAM = 18, 40
 LONG_P = np.uint64(0xC6BC279692B5C323)
 #: Bytes of a symbol of the BWT. A segment is read as so many documents, one from each of its first bytes on.
 SYMBOL = 8
 #: Bytes of segments from which on a BWT is closed; segments of one anchor always stay together.
 BLOCK_BYTES = 1 << 18
 #: Bytes of segments that a task holds before it sends them on.
-HELD_BYTES = 4 << 20
+HELD_BYTES = 12 << 20
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -171,20 +171,34 @@ def anchor_of(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def judged(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the window at each byte repeats one of a smaller owner, anchor of each segment), by blocks of whole anchors."""
+    """(whether the window at each byte repeats one of a smaller owner, anchor of each segment), by blocks of whole anchors.
+
+    Windows whose hash no second owner has can't repeat, as equal windows have equal hashes; only stretches of the others enter a BWT.
+    """
     begin = offsets(lengths)
     group = anchor_of(text, begin[:-1])
-    order = np.argsort(group, kind="stable")
-    g, total = group[order], offsets(lengths[order])
-    cuts = [*np.nonzero(np.append(True, g[1:] != g[:-1]))[0][1:].tolist(), len(order)]
-    out, columns, x = np.zeros(len(text), bool), Columns(folder), 0
-    for y in cuts:
-        if y < len(order) and total[y] - total[x] < BLOCK_BYTES:
+    out, fresh = np.zeros((2, len(text)), bool)
+    fresh[begin[:-1]] = True
+    at = spread(begin[:-1], lengths - WINDOW + 1)
+    h = A.grams(_TABLE[text], WINDOW)[at]
+    by = np.argsort(h)
+    cls, several = A._groups(h[by], np.repeat(owner, lengths - WINDOW + 1)[by], False)
+    maybe = np.zeros(len(text), bool)
+    maybe[at[by[several[cls]]]] = True
+    first, count = runs(maybe, fresh)
+    if not len(first):
+        return out, group
+    of, size = np.searchsorted(begin, first, "right") - 1, count + WINDOW - 1
+    order = np.argsort(group[of], kind="stable")
+    first, of, size = first[order], of[order], size[order]
+    g, total = group[of], offsets(size)
+    cuts = [*np.nonzero(g[1:] != g[:-1])[0] + 1, len(g)]
+    columns, x = Columns(folder), 0
+    for y in map(int, cuts):
+        if y < len(g) and total[y] - total[x] < BLOCK_BYTES:
             continue
-        part = order[x:y]
-        if y - x > 1:
-            at = spread(begin[part], lengths[part])
-            out[at] = repeated_windows(text[at], lengths[part], owner[part], columns)
+        part = spread(first[x:y], size[x:y])
+        out[part[repeated_windows(text[part], size[x:y], owner[of[x:y]], columns)]] = True  # stretches may overlap
         x = y
     return out, group
 
