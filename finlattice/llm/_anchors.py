@@ -17,6 +17,8 @@ from finlattice.llm._common import BLOB, blob_batch, by_bucket, mixed, offsets,
 P = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of an anchor at most: text of one repeated symbol would otherwise be a single endless run.
 LONGEST_RUN = 64
+#: Values that one step of hashing works on.
+STRETCH = 1 << 14
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
 #: An anchor with so many holders in one task, or in the bucket of its hash, is hot: its windows are dealt on by more than their anchor.
@@ -38,43 +40,60 @@ def grams(units: np.ndarray, m: int, p: np.uint64 = P) -> np.ndarray:
     return h
 
 
+def gram_hashes(units: np.ndarray, m: int, p: np.uint64 = P, table: np.ndarray | None = None) -> np.ndarray:
+    """A well-mixed hash of each m successive units (of table[units], if there is a table), by blocks that stay in a core's cache."""
+    n = len(units) - m + 1
+    out = np.empty(max(0, n), np.uint64)
+    for at in range(0, n, STRETCH):
+        part = units[at : at + STRETCH + m - 1]
+        out[at : at + STRETCH] = mixed(grams(part if table is None else table[part], m, p))
+    return out
+
+
 def minima(h: np.ndarray, w: int) -> np.ndarray:
     """Least of each w successive values."""
-    low, k = h, 1
-    while 2 * k <= w:
-        low = np.minimum(low[:-k], low[k:])
-        k *= 2
     n = len(h) - w + 1
-    return np.minimum(low[:n], low[w - k : w - k + n])
-
-
-def anchors(units: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    out = np.empty(max(0, n), h.dtype)
+    for at in range(0, n, STRETCH):
+        low, k = h[at : at + STRETCH + w - 1], 1
+        size = len(low) - w + 1
+        while 2 * k <= w:
+            low = np.minimum(low[:-k], low[k:])
+            k *= 2
+        out[at : at + STRETCH] = np.minimum(low[:size], low[w - k : w - k + size])
+    return out
+
+
+def anchors(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, table: np.ndarray | None = None, within: bool = True) -> tuple[np.ndarray, ...]:
     """(hash, text, start, run, again) for texts laid end to end; start counts units within a text.
 
-    again: the least gram stands more than once among an anchor's own windows, so that one of them may repeat another.
+    again (if within): the least gram stands more than once among an anchor's own windows, so that one of them may repeat another.
     """
     none = np.zeros(0, np.int64)
-    nothing = none.astype(np.uint64), none, none, none, none.astype(bool)
-    if len(units) < window:
-        return nothing
-    hashes = mixed(grams(units, gram))
+    hashes = gram_hashes(units, gram, table=table)
     low = minima(hashes, window - gram + 1)
-    begin = offsets(lengths)
-    text = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - window + 1))
-    at = np.concatenate([np.arange(b, max(b, e - window + 1)) for b, e in zip(begin[:-1], begin[1:], strict=True)] or [none])
-    if not len(at):
-        return nothing
-    h = low[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.nonzero(new)[0]
-    since = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    first = np.nonzero(since % LONGEST_RUN == 0)[0]
-    run = np.diff(np.append(first, len(at)))
-    width = run + window - gram
-    equal = hashes[spread(at[first], width)] == np.repeat(h[first], width)
-    again = np.add.reduceat(equal, offsets(width)[:-1], dtype=np.int64) > 1
-    return h[first], text[first], at[first] - begin[text[first]], run, again
+    n, begin = len(low), offsets(lengths)
+    whole = np.ones(n + 2, bool)  # windows inside one text, between two that are not
+    whole[0] = whole[-1] = False
+    past = spread(np.maximum(begin[:-1], begin[1:] - window + 1), np.minimum(lengths, window - 1))
+    whole[past[past < n] + 1] = False
+    if not whole.any():
+        return none.astype(np.uint64), none, none, none, none.astype(bool)
+    step = np.ones(n + 1, bool)
+    step[1:-1] = low[1:] != low[:-1]
+    first = np.nonzero(whole[1:-1] & (step[:-1] | ~whole[:-2]))[0]
+    run = np.nonzero(whole[1:-1] & (step[1:] | ~whole[2:]))[0] - first + 1
+    if (run > LONGEST_RUN).any():
+        parts = (run - 1) // LONGEST_RUN + 1
+        k = spread(np.zeros(len(parts), np.int64), parts)
+        first, run = np.repeat(first, parts) + k * LONGEST_RUN, np.minimum(np.repeat(run, parts) - k * LONGEST_RUN, LONGEST_RUN)
+    h, text = low[first], np.searchsorted(begin, first, "right") - 1
+    again = np.zeros(len(first), bool)
+    if within:
+        width = run + window - gram
+        equal = hashes[spread(first, width)] == np.repeat(h, width)
+        again = np.add.reduceat(equal, offsets(width)[:-1], dtype=np.int64) > 1
+    return h, text, first - begin[text], run, again
 
 
 def _groups(h: np.ndarray, who: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -163,4 +182,4 @@ def gathered(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("id", "low").agg(F.collect_list("place").alias("places"))
 
 
-__all__ = ["BLOB", "CANDIDATES", "HELD", "anchors", "gathered", "grams", "packed", "repeated_anchors", "sent"]
+__all__ = ["BLOB", "CANDIDATES", "HELD", "anchors", "gathered", "gram_hashes", "grams", "packed", "repeated_anchors", "sent"]

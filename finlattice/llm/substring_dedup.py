@@ -64,7 +64,7 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def edges(words: np.ndarray) -> np.ndarray:
     """The De Bruijn edge of each window of K words, as a hash of its tokens."""
-    return mixed(A.grams(words, K, EDGE_P)) if len(words) >= K else np.zeros(0, np.uint64)
+    return A.gram_hashes(words, K, EDGE_P) if len(words) >= K else np.zeros(0, np.uint64)
 
 
 def repeats(group: np.ndarray, edge: np.ndarray, who: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def _cut(n: int):
                 if len(words) < K:
                     continue
                 begin, count, hot = A.opened(places.values.to_numpy())
-                h = A.minima(mixed(A.grams(words, GRAM)), K - GRAM + 1)
+                h = A.minima(A.gram_hashes(words, GRAM), K - GRAM + 1)
                 at, hot = spread(begin, count), np.repeat(hot, count)
                 inside = at < len(h)  # places of another text that shares id and low may lie past the end
                 at, hot = at[inside], hot[inside]

@@ -33,21 +33,36 @@ _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407
 class Columns:
     """The growing columns as files that each round reads from front to end and writes anew with its suffixes merged in.
 
-    A row is a distinct suffix: its first symbol, the row of what follows that symbol, the bytes it shares with the row before, and
-    its number. (row of the rest, first symbol) is the BWT's entry: the symbol that stands before that row's suffix.
+    A row is a distinct suffix: its first symbol (by rank), the row of what follows that symbol, the bytes it shares with the row before,
+    and its number. (row of the rest, first symbol) is the BWT's entry: the symbol that stands before that row's suffix.
     """
 
-    KINDS = (("first", np.uint64), ("rest", np.int32), ("lcp", np.uint8), ("number", np.int32))
+    KINDS = (("first", np.int32), ("rest", np.int32), ("lcp", np.uint8), ("number", np.int32))
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.files = [open(os.path.join(folder, name), "w+b", buffering=0) for name, _ in self.KINDS]
+        self.rows = 0
 
     def write(self, *columns: np.ndarray) -> None:
-        for (name, kind), a in zip(self.KINDS, columns, strict=True):
-            a.astype(kind, copy=False).tofile(os.path.join(self.folder, name))
+        self.rows = len(columns[0])
+        for f, (_, kind), a in zip(self.files, self.KINDS, columns, strict=True):
+            f.seek(0)
+            left = memoryview(np.ascontiguousarray(a, kind)).cast("B")
+            while len(left):
+                left = left[f.write(left) :]
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, name), kind) for name, kind in self.KINDS]
+        out = [np.empty(self.rows, kind) for _, kind in self.KINDS]
+        for f, a in zip(self.files, out, strict=True):
+            f.seek(0)
+            left = memoryview(a).cast("B")
+            while len(left):
+                left = left[f.readinto(left) :]
+        return out
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
 
 
 def symbols(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +106,12 @@ def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap:
     differ they say so, else what the rests share is the least of the last round's column between the two rests.
     """
     w, left = symbols(text, lengths)
+    by = np.argsort(w)
+    new = np.append(True, np.diff(w[by]) != 0)
+    symbol = w[by[new]]
+    rank = np.empty(len(w), np.int64)
+    rank[by] = np.cumsum(new) - (symbol[:1] == 0).sum()  # zero is the symbol of the empty suffix
+    symbol = np.append(np.zeros(1, np.uint64), symbol[symbol > 0])
     round_of = (left - 1) // SYMBOL
     order = np.argsort(round_of.astype(np.uint8), kind="stable")
     edge = np.searchsorted(round_of[order], np.arange(int(round_of.max(initial=-1)) + 2))
@@ -100,25 +121,17 @@ def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap:
     for r in range(len(edge) - 1):
         first, rest, lcp, number = columns.read()
         at = order[edge[r] : edge[r + 1]]
-        n, c = len(first), w[at]
-        p = place[at + SYMBOL] if r else np.zeros(len(at), np.int32)
-        by = np.argsort(c)
-        rank = np.empty(len(at), np.int64)
-        rank[by] = np.cumsum(np.append(False, np.diff(c[by]) != 0))
-        key = rank * n + p
+        n = len(first)
+        key = rank[at] * n
+        if r:
+            key += place[at + SYMBOL]
         by = np.argsort(key)
-        new = np.append(True, np.diff(key[by]) != 0)
-        c, p = c[by[new]], p[by[new]]
+        key = key[by]
+        new = np.append(True, key[1:] != key[:-1])
+        key = key[new]
         # Rows stand by first symbol, then by the row of the rest.
-        head = np.append(True, first[1:] != first[:-1])
-        starts = np.nonzero(head)[0]
-        k = np.searchsorted(first[starts], c)
-        known = k < len(starts)
-        known[known] = first[starts[k[known]]] == c[known]
-        before = np.append(starts, n)[k]
-        if known.any():
-            before[known] = np.searchsorted((np.cumsum(head) - 1) * n + rest, k[known] * n + p[known])
-        to = before + np.arange(len(c))
+        before = np.searchsorted(first * np.int64(n) + rest, key)
+        to = before + np.arange(len(key))
         moved = np.arange(n) + np.cumsum(np.bincount(before, minlength=n + 1))[:n]
 
         def merged(old, fresh, moved=moved, to=to):
@@ -126,12 +139,12 @@ def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap:
             out[moved], out[to] = old, fresh
             return out
 
-        first, rest = merged(first, c), merged(rest, p)
+        first, rest = merged(first, key // n), merged(rest, key % n)
         size = len(first)
         touched = np.zeros(size + 1, bool)
         touched[to] = touched[to + 1] = True
         b = np.nonzero(touched[1:size])[0] + 1
-        got = shared_bytes(first[b - 1], first[b])
+        got = shared_bytes(symbol[first[b - 1]], symbol[first[b]])
         same = np.nonzero(got == SYMBOL)[0]
         low, high = rest[b[same] - 1] + 1, rest[b[same]]
         apart = low <= high
@@ -139,10 +152,11 @@ def collection_bwt(text: np.ndarray, lengths: np.ndarray, columns: Columns, cap:
         got[same[apart]] = np.minimum(cap, SYMBOL + range_min(lcp, low[apart], high[apart]).astype(np.int64))
         lcp = merged(lcp, np.uint8(0))
         lcp[b] = np.minimum(got, cap)
-        columns.write(first, moved[rest], lcp, merged(number, np.arange(made, made + len(c), dtype=np.int32)))
+        columns.write(first, moved[rest], lcp, merged(number, np.arange(made, made + len(key), dtype=np.int32)))
         which = np.cumsum(new) - 1
-        place[at[by]], number_of[at[by]] = to[which], made + which
-        made += len(c)
+        at = at[by]
+        place[at], number_of[at] = to[which], made + which
+        made += len(key)
     return number_of[: len(text)], left
 
 
@@ -163,11 +177,7 @@ def repeated_windows(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, c
 
 def anchor_of(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The least gram hash of the window at each place: what all windows of a segment share."""
-    out = [np.zeros(0, np.uint64)]
-    for at in range(0, len(begin), 1 << 14):
-        first = text[begin[at : at + (1 << 14), None] + np.arange(WINDOW)]
-        out.append(mixed(A.grams(_TABLE[first], GRAM)).min(axis=1))
-    return np.concatenate(out)
+    return A.minima(A.gram_hashes(text, GRAM, table=_TABLE), WINDOW - GRAM + 1)[begin]
 
 
 def judged(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +190,7 @@ def judged(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folder: str
     out, fresh = np.zeros((2, len(text)), bool)
     fresh[begin[:-1]] = True
     at = spread(begin[:-1], lengths - WINDOW + 1)
-    h = A.grams(_TABLE[text], WINDOW)[at]
+    h = A.gram_hashes(text, WINDOW, table=_TABLE)[at]
     by = np.argsort(h)
     cls, several = A._groups(h[by], np.repeat(owner, lengths - WINDOW + 1)[by], False)
     maybe = np.zeros(len(text), bool)
@@ -193,13 +203,14 @@ def judged(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folder: str
     first, of, size = first[order], of[order], size[order]
     g, total = group[of], offsets(size)
     cuts = [*np.nonzero(g[1:] != g[:-1])[0] + 1, len(g)]
-    columns, x = Columns(folder), 0
+    columns, x = Columns(folder), 0  # one set of files for all blocks
     for y in map(int, cuts):
         if y < len(g) and total[y] - total[x] < BLOCK_BYTES:
             continue
         part = spread(first[x:y], size[x:y])
         out[part[repeated_windows(text[part], size[x:y], owner[of[x:y]], columns)]] = True  # stretches may overlap
         x = y
+    columns.close()
     return out, group
 
 
@@ -251,7 +262,7 @@ class Held:
         # Windows of a hot anchor are dealt by a longer gram beside it: runs of one such gram travel together.
         second = np.zeros(len(text), np.uint64)
         if hot.any():
-            least = A.minima(mixed(A.grams(_TABLE[text], LONG_GRAM, LONG_P)), WINDOW - LONG_GRAM + 1)
+            least = A.minima(A.gram_hashes(text, LONG_GRAM, LONG_P, _TABLE), WINDOW - LONG_GRAM + 1)
             second[: len(least)] = least
             second[~np.repeat(hot, lengths)] = 0
             fresh[1:] |= second[1:] != second[:-1]
@@ -284,7 +295,7 @@ def _find(n: int):
         names, lengths, chunks, total = [], [], [], 0
 
         def work():
-            h, text, start, count, again = A.anchors(_TABLE[np.frombuffer(b"".join(chunks), np.uint8)], np.array(lengths, np.int64), WINDOW, GRAM)
+            h, text, start, count, again = A.anchors(np.frombuffer(b"".join(chunks), np.uint8), np.array(lengths, np.int64), WINDOW, GRAM, _TABLE, within=False)
             who = np.array([x[0] for x in names], np.int64)[text]
             th = np.array([x[1] for x in names], np.int64)[text]
             return h, who, th, start + np.array([x[2] for x in names], np.int64)[text], count, again

@@ -164,9 +164,10 @@ def test_collection_bwt_sorts_all_suffixes(tmp_path):
         assert padded == sorted(padded) and len(text) == len(number)
         for k in range(1, len(padded)):
             assert lcp[k] == min(50, next((j for j in range(113) if padded[k - 1][j] != padded[k][j]), 50))
-        for k, s in enumerate(padded):
+        ranks = {x: k for k, x in enumerate(sorted({s[:8].ljust(8, b"\0") for s in suffixes} | {bytes(8)}))}
+        for k in range(len(padded)):
             symbol = text[int(number[k])]
-            assert int(first[k]) == int.from_bytes(s[:8], "big") and padded[rest[k]][:120] == (symbol[8:] + bytes(200))[:120]
+            assert ranks[symbol[:8].ljust(8, b"\0")] == first[k] and padded[rest[k]][:120] == (symbol[8:] + bytes(200))[:120]
         assert sorted(row_of[number]) == list(range(len(number)))
 
 
@@ -261,6 +262,21 @@ def test_simhash_keeps_a_row_of_each_component_that_shares_a_name(spark):
     assert same(kept, [rows[0], rows[1], rows[3], rows[4], rows[7]])
 
 
+def test_anchors_name_every_window():
+    a, r = substring_dedup.A, np.random.default_rng(9)
+    for trial in range(40):
+        lengths = r.integers(0, 200, 12) * (r.random(12) < 0.8)
+        units = r.integers(0, 3 if trial % 2 else 1 << 60, int(lengths.sum())).astype(np.uint64)
+        window, gram = (20, 8) if trial % 4 < 2 else (50, 18)
+        h, text, start, run, again = a.anchors(units, lengths, window, gram)
+        got = {(t, s + k): (x, g) for x, t, s, n, g in zip(h.tolist(), text.tolist(), start.tolist(), run.tolist(), again.tolist(), strict=True) for k in range(n)}
+        begin, want = np.concatenate([[0], np.cumsum(lengths)]), {}
+        for t, n in enumerate(lengths.tolist()):
+            own = a.mixed(a.grams(units[begin[t] : begin[t + 1]], gram)).tolist() if n >= window else []
+            want |= {(t, s): min(own[s : s + window - gram + 1]) for s in range(n - window + 1)}
+        assert {k: v[0] for k, v in got.items()} == want and len(got) == run.sum() and (run <= a.LONGEST_RUN).all()
+
+
 def test_anchors_meet_every_pair_within_three_bits():
     r = random.Random(5)
     for _ in range(300):
