@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +37,38 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset a temporary one is set on a single machine (tests), and nothing else will do on a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share: tables written on the way go there")
         folder = tempfile.mkdtemp(prefix="finlattice-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("tables made on the way", default=None)
+
+
+@contextmanager
+def scratch():
+    """Lists the tables that written() makes in this block, so that who writes a result can remove what it was made from."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """The rows of df from a Parquet table in the shared folder (cut lineage that survives lost executors), and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/finlattice/{tag}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -26,7 +26,7 @@ SYMBOL = 8
 #: Bytes of segments from which on a BWT is closed; segments of one anchor always stay together.
 BLOCK_BYTES = 1 << 18
 #: Bytes of segments that a task holds before it sends them on.
-HELD_BYTES = 12 << 20
+HELD_BYTES = 8 << 20
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -258,14 +258,11 @@ class Held:
             places = spread(offsets(times)[:-1][of], times[of])
             low = np.repeat(at - begin[of], times[of]) + start[places]
             done = [np.repeat(owner[of], times[of]), th[places], low, np.repeat(count + WINDOW - 1, times[of])]
-            out += by_bucket((mixed(done[0].view(np.uint64) ^ mixed(done[1].view(np.uint64))) % np.uint64(n)).astype(np.int64), n, done)
+            out += by_bucket((mixed(done[0].view(np.uint64) ^ mixed(done[1].view(np.uint64)) ^ (low >> 14).view(np.uint64)) % np.uint64(n)).astype(np.int64), n, done)
         # Windows of a hot anchor are dealt by a longer gram beside it: runs of one such gram travel together.
-        second = np.zeros(len(text), np.uint64)
-        if hot.any():
-            least = A.minima(A.gram_hashes(text, LONG_GRAM, LONG_P, _TABLE), WINDOW - LONG_GRAM + 1)
-            second[: len(least)] = least
-            second[~np.repeat(hot, lengths)] = 0
-            fresh[1:] |= second[1:] != second[:-1]
+        second = A.minima(A.gram_hashes(text, LONG_GRAM, LONG_P, _TABLE), WINDOW - LONG_GRAM + 1)
+        second[~np.repeat(hot, lengths)[: len(second)]] = 0
+        fresh[1 : len(second)] |= second[1:] != second[:-1]
         at, count = runs(window & ~gone, fresh)
         of = np.searchsorted(begin, at, "right") - 1
         size = count + WINDOW - 1

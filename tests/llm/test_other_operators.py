@@ -200,6 +200,34 @@ def test_pipeline_stages(spark):
             assert not any(brute.secrets(t) for t in after.values())
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns, an empty table, a very long row; tables made on the way go."""
+    rows = [(None, None, "a"), (None, "", "b"), (1, "one two three", "c"), (1, "one two three", "c"), (2, "x" + " " * 10**6 + "y token=abcdefgh1", "d"), (None, "four five six seven", "e")]
+    frame = spark.createDataFrame([(i, t, c, 1, 2) for i, t, c in rows], "doc_id long, text string, row string, th int, blob int")
+    folder = str(tmp_path)
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in out} >= {(None, 1), (1, 4)} and sum(r.length for r in out) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in out}.values())
+    assert {r.doc_id for r in out} == {None, 1, 2}
+    none = str(tmp_path / "none")
+    frame.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_tables_on_the_way_are_removed(spark):
+    import os
+
+    from finlattice.llm import _common
+
+    with _common.scratch() as made:
+        _, path = _common.written(spark.range(3).toDF("a"), "x")
+    assert made == [path] and os.path.exists(path.removeprefix("file:"))
+    _common.removed(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 @pytest.mark.parametrize("name", ["op6_chat", "op7_exact_dedup", "op9_embeddings"])
 def test_queries_match_sql(spark, name):
     import duckdb
