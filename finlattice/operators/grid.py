@@ -114,13 +114,16 @@ def merge_order(rows: DataFrame) -> DataFrame:
     ship_package(rows.sparkSession)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        order: list[str] = []
+        following: dict[str | None, str | None] = {None: None}  # a linked list that starts after None
         for _, filing in sorted(pdf.groupby("filed"), key=lambda g: g[0], reverse=True):
             before = None
-            for key in filing.sort_values("line_order")["line_key"].drop_duplicates():
-                if key not in order:
-                    order.insert(order.index(before) + 1 if before is not None else 0, key)
+            for key in filing.sort_values(["line_order", "line_key"])["line_key"].drop_duplicates():
+                if key not in following:
+                    following[before], following[key] = key, following[before]
                 before = key
+        order, key = [], None
+        while (key := following[key]) is not None:
+            order.append(key)
         first = pdf.iloc[0]
         return pd.DataFrame({"cik": first["cik"], "statement": first["statement"], "line_key": order, "position": range(len(order))})
 

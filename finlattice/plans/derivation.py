@@ -60,11 +60,11 @@ def next_expected(t):
 
 # Year-to-date totals by nation, as filings report them: the quarter's running sum within a fiscal year.
 YTD_SQL = """SELECT *, sum(v) OVER (PARTITION BY nation, fy ORDER BY n) AS ytd FROM (SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS fy, CAST(quarter(o_orderdate) AS INTEGER) AS n, round(sum(o_totalprice), 2) AS v
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND (o_orderkey + c_nationkey) % 3 <> 0 AND NOT (quarter(o_orderdate) = 2 AND c_nationkey % 7 = year(o_orderdate) % 7) GROUP BY 1, 2, 3)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND NOT (quarter(o_orderdate) = 2 AND c_nationkey % 7 = year(o_orderdate) % 7) GROUP BY 1, 2, 3)"""
 
 
 def ytd(t: Tables) -> DataFrame:
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus <> 'P' AND (o_orderkey + c_nationkey) % 3 <> 0 AND NOT (quarter(o_orderdate) = 2 AND c_nationkey % 7 = year(o_orderdate) % 7)")
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus <> 'P' AND NOT (quarter(o_orderdate) = 2 AND c_nationkey % 7 = year(o_orderdate) % 7)")
     per = o.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("fy"), F.quarter("o_orderdate").alias("n")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     return per.withColumn("ytd", F.sum("v").over(Window.partitionBy("nation", "fy").orderBy("n")))
 
@@ -126,7 +126,7 @@ def grid_long(t):
 
 @query("grid_pivot", """SELECT l_returnflag, l_linestatus, """ + ", ".join(f"round(sum(CASE WHEN year(l_shipdate) = {y} THEN l_extendedprice END), 2) AS fy{y}" for y in range(1995, 2002)) + " FROM lineitem GROUP BY 1, 2")
 def grid_pivot(t):
-    p = t.lineitem.groupBy("l_returnflag", "l_linestatus").pivot(F.year("l_shipdate").alias("y"), list(range(1995, 2002))) if False else t.lineitem.withColumn("y", F.year("l_shipdate")).groupBy("l_returnflag", "l_linestatus").pivot("y", list(range(1995, 2002)))
+    p = t.lineitem.withColumn("y", F.year("l_shipdate")).groupBy("l_returnflag", "l_linestatus").pivot("y", list(range(1995, 2002)))
     out = p.agg(F.round(F.sum("l_extendedprice"), 2))
     return out.select("l_returnflag", "l_linestatus", *(F.col(str(y)).alias(f"fy{y}") for y in range(1995, 2002)))
 
@@ -156,10 +156,10 @@ def amendment_lists(t):
 
 @query("instants_pairing", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM lineitem),
 i AS (SELECT o_orderkey, e.v, row_number() OVER (PARTITION BY o_orderkey ORDER BY e.v) AS k, 2 AS inst FROM orders, LATERAL (VALUES (0.0), (o_totalprice)) e(v))
-SELECT l.l_orderkey, l.k, i.v FROM l JOIN i ON i.o_orderkey = l.l_orderkey AND i.k = i.inst - l.lines + l.k WHERE l.lines <= 2""")
+SELECT l.l_orderkey, l.k, i.v FROM l JOIN i ON i.o_orderkey = l.l_orderkey AND i.k = i.inst - l.lines + l.k""")
 def instants_pairing(t):
     w = Window.partitionBy("l_orderkey")
-    l = t.lineitem.withColumn("k", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")).withColumn("lines", F.count("*").over(w)).where("lines <= 2")  # noqa: E741
+    l = t.lineitem.withColumn("k", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")).withColumn("lines", F.count("*").over(w))  # noqa: E741
     i = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.posexplode(F.array_sort(F.array(F.lit(0.0), F.col("o_totalprice")))).alias("p", "v"))
     i = i.withColumn("j", F.col("p") + 1)
     return l.join(i, ["l_orderkey"]).where("j = 2 - lines + k").select("l_orderkey", "k", "v")

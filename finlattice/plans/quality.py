@@ -145,15 +145,15 @@ def implied_rate(t):
     return joined.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.median(F.col("hi") / F.col("lo")), 4).alias("rate"), F.min("flags").alias("first_flags"))
 
 
-@query("weekday_streak", """WITH d AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS d FROM events WHERE event_type IN ('signup', 'error') AND isodow(ts) <= 5 AND user_id < 20),
-n AS (SELECT *, date_diff('day', DATE '1970-01-05', d) // 7 * 5 + date_diff('day', DATE '1970-01-05', d) % 7 AS wd FROM d), i AS (SELECT *, wd - row_number() OVER (PARTITION BY event_type ORDER BY wd) AS island FROM n)
-SELECT event_type, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM i GROUP BY event_type, island""")
+@query("weekday_streak", """WITH d AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events WHERE event_type IN ('signup', 'error') AND isodow(ts) <= 5),
+n AS (SELECT *, date_diff('day', DATE '1970-01-05', d) // 7 * 5 + date_diff('day', DATE '1970-01-05', d) % 7 AS wd FROM d), i AS (SELECT *, wd - row_number() OVER (PARTITION BY user_id, event_type ORDER BY wd) AS island FROM n)
+SELECT user_id, event_type, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM i GROUP BY user_id, event_type, island""")
 def weekday_streak(t):
     day = F.col("ts").cast("date")
-    d = t.events.where("event_type IN ('signup', 'error') AND user_id < 20").where(F.weekday("ts") <= 4).select("event_type", day.alias("d")).distinct()
+    d = t.events.where("event_type IN ('signup', 'error')").where(F.weekday("ts") <= 4).select("user_id", "event_type", day.alias("d")).distinct()
     since = F.datediff("d", F.lit("1970-01-05").cast("date"))
-    i = W.islands(d, ["event_type"], (F.floor(since / 7) * 5 + since % 7))
-    return i.groupBy("event_type", "island").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")).drop("island")
+    i = W.islands(d, ["user_id", "event_type"], (F.floor(since / 7) * 5 + since % 7))
+    return i.groupBy("user_id", "event_type", "island").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")).drop("island")
 
 
 @query("reconciliation", """WITH s AS (SELECT l_orderkey, count(*) AS lines, max(l_shipdate) AS last FROM lineitem WHERE l_quantity > 10 GROUP BY 1), o AS (SELECT * FROM orders WHERE o_orderstatus <> 'P')

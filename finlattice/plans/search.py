@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finlattice.operators import retrieval as R
@@ -70,11 +69,11 @@ def search_page(t):
 
 
 @query("lexical_overlap", f"""WITH b AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM documents),
-bt AS (SELECT item_id, unnest(w) AS t FROM b WHERE item_id < 10), dt AS (SELECT doc_id, unnest(w) AS t FROM d), o AS (SELECT item_id, doc_id, count(*) AS overlap FROM bt JOIN dt USING (t) GROUP BY 1, 2)
+bt AS (SELECT item_id, unnest(w) AS t FROM b), dt AS (SELECT doc_id, unnest(w) AS t FROM d), o AS (SELECT item_id, doc_id, count(*) AS overlap FROM bt JOIN dt USING (t) GROUP BY 1, 2)
 SELECT item_id, doc_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rn FROM o) WHERE rn <= 5""")
 def lexical_overlap(t):
     term = lambda df, key: df.select(key, F.explode(F.array_distinct(words())).alias("t"))
-    overlap = term(t.documents, "doc_id").join(F.broadcast(term(t.benchmark.where("item_id < 10"), "item_id")), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))  # ten stated queries
+    overlap = term(t.documents, "doc_id").join(term(t.benchmark, "item_id"), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     return W.ranked(overlap, ["item_id"], [F.desc("overlap"), F.asc("doc_id")]).where("rn <= 5").select("item_id", "doc_id", "overlap")
 
 
@@ -82,26 +81,28 @@ COS = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBL
 
 
 @query("cosine_topk", f"""SELECT query_id, vec_id, CAST(rn AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, e.vec_id DESC) AS rn
-FROM embeddings q, embeddings e WHERE q.vec_id < 3 AND e.vec_id <> q.vec_id) WHERE rn <= 10""")
+FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rn <= 10""")
 def cosine_topk(t):
-    return R.cosine_top(t.embeddings, t.embeddings.where("vec_id < 3"), 10).select("query_id", "vec_id", "rank")
+    return R.cosine_top(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
-@query("rrf_fusion", f"""WITH s AS (SELECT e.vec_id, round({COS}, 9) AS c, CAST(e.label = q.label AS INTEGER) * 10 + e.vec_id % 10 AS o FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0),
-r AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id DESC) AS r FROM s UNION ALL SELECT vec_id, row_number() OVER (ORDER BY o DESC, vec_id DESC) FROM s WHERE o > 0)
-SELECT vec_id, round(sum(1.0 / (60 + r)), 9) AS fused FROM r GROUP BY 1 ORDER BY round(sum(1.0 / (60 + r)), 9) DESC, vec_id LIMIT 12""")
+@query("rrf_fusion", f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({COS}, 9) AS c, CAST(e.label = q.label AS INTEGER) * 10 + e.vec_id % 10 AS o FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id DESC) AS r FROM s UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, vec_id DESC) FROM s WHERE o > 0),
+f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + r)), 9) AS fused FROM r GROUP BY 1, 2)
+SELECT query_id, vec_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS n FROM f) WHERE n <= 12""")
 def rrf_fusion(t):
-    one = t.embeddings.where("vec_id = 0")
-    s = R.cosines(t.embeddings, one).join(F.broadcast(one.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))), "query_id")  # one stated query
-    s = s.withColumn("o", (F.col("label") == F.col("ql")).cast("int") * 10 + F.col("vec_id") % 10)
-    return R.fused([s.select("query_id", "vec_id", F.col("score")), s.where("o > 0").select("query_id", "vec_id", F.col("o").cast("double").alias("score"))], "query_id", "vec_id").orderBy(F.desc("fused"), "vec_id").limit(12).select("vec_id", "fused")
+    asked = t.embeddings.where("vec_id % 100 = 0")
+    s = R.cosines(t.embeddings, asked, keep=("label",))
+    s = s.withColumn("o", (F.col("label") == F.col("query_label")).cast("int") * 10 + F.col("vec_id") % 10)
+    return R.fused_top([s.select("query_id", "vec_id", "score"), s.where("o > 0").select("query_id", "vec_id", F.col("o").cast("double").alias("score"))], "query_id", "vec_id", 12)
 
 
-@query("diversified_topk", f"""WITH s AS (SELECT e.vec_id, e.label, round({COS}, 9) AS c FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c DESC, vec_id) AS k FROM s)
-SELECT vec_id, label, k = 1 AS first_of_label FROM r ORDER BY k = 1 DESC, c DESC, vec_id LIMIT 12""")
+@query("diversified_topk", f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round({COS}, 9) AS c FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY c DESC, vec_id) AS k FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k = 1 DESC, c DESC, vec_id) AS n FROM r)
+SELECT query_id, vec_id, label, k = 1 AS first_of_label FROM n WHERE n <= 12""")
 def diversified_topk(t):
-    s = R.cosines(t.embeddings, t.embeddings.where("vec_id = 0"))
-    return R.diversified(s, "label", F.desc("score"), "vec_id", 12).select("vec_id", "label", "first_of_label")
+    s = R.cosines(t.embeddings, t.embeddings.where("vec_id % 100 = 0"))
+    return R.diversified_per(s, "query_id", "label", "score", "vec_id", 12).select("query_id", "vec_id", "label", "first_of_label")
 
 
 @query("span_chunks")
@@ -133,13 +134,14 @@ def index_coverage(t):
     return t.documents.groupBy("lang").agg(F.count_if(n >= 1000).alias("indexed"), F.count_if((n < 1000) & (n >= 100)).alias("pending"), F.count_if(n < 100).alias("failed"), (F.count_if(n < 1000) > 0).alias("partial"))
 
 
-@query("quote_verification", """SELECT b.item_id, count(*) AS supporting, CASE WHEN count(*) > 0 THEN 'supported' END AS status FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 20 GROUP BY 1""")
+@query("quote_verification", """SELECT b.item_id, count(*) AS supporting, CASE WHEN count(*) > 0 THEN 'supported' END AS status FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def quote_verification(t):
-    return R.quotes(t.documents, t.benchmark.where("item_id < 20"), "item_id", "text").select("item_id", "supporting", "status")
+    return R.quotes(t.documents, t.benchmark, "item_id", "text").select("item_id", "supporting", "status")
 
 
 @query("document_inventory", """SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'Annual report' WHEN n_chars > 1000 THEN 'Exhibit ' || (doc_id % 99) ELSE 'Press release' END AS label, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1 AS is_primary FROM documents""")
 def document_inventory(t):
     label = F.when(F.col("n_chars") > 5000, "Annual report").when(F.col("n_chars") > 1000, F.concat(F.lit("Exhibit "), F.col("doc_id") % 99)).otherwise("Press release")
-    first = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")) == 1
-    return t.documents.select("doc_id", label.alias("label"), first.alias("is_primary"))
+    d = t.documents.select("doc_id", "source", "n_chars", label.alias("label"))
+    first = d.groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id"))).alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    return d.join(first, "doc_id", "left").select("doc_id", "label", F.coalesce("first", F.lit(False)).alias("is_primary"))

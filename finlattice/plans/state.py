@@ -63,17 +63,19 @@ def purchase_cluster(t):
     return g.where("users >= 2").drop("users")
 
 
-@query("position_series", """WITH d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, count(DISTINCT l_quantity) AS k, max(l_quantity) AS v FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY 1, 2)
-SELECT l_suppkey, d, v FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY d DESC) AS rn FROM d WHERE k = 1) WHERE rn <= 50""")
+@query("position_series", """WITH d AS (SELECT l_suppkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, count(DISTINCT l_quantity) AS k, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
+SELECT l_suppkey, l_linenumber, d, v FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY d DESC) AS rn FROM d WHERE k = 1) WHERE rn <= 50""")
 def position_series(t):
-    d = t.lineitem.where("l_suppkey % 20 = 0").groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("d")).agg(F.count_distinct("l_quantity").alias("k"), F.max("l_quantity").alias("v"))
-    return W.ranked(d.where("k = 1"), ["l_suppkey"], [F.desc("d")]).where("rn <= 50").select("l_suppkey", "d", "v")
+    from finlattice.operators.holdings import insider_series
+
+    rows = t.lineitem.select(F.col("l_suppkey").alias("issuer"), F.col("l_linenumber").alias("owner"), F.lit("common").alias("security"), F.lit("D").alias("ownership"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").alias("balance"))
+    return insider_series(rows).select(F.col("issuer").alias("l_suppkey"), F.col("owner").alias("l_linenumber"), F.col("day").alias("d"), F.col("balance").alias("v"))
 
 
 @query("entitlement", """SELECT o_custkey, coalesce(bool_and(EXISTS (SELECT 1 FROM nation WHERE n_nationkey = l_suppkey % 25 AND n_regionkey <> o_custkey % 5)), false) AS permitted
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 300 GROUP BY 1""")
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def entitlement(t):
-    docs = t.orders.where("o_custkey < 300").join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("artifact"), (F.col("l_suppkey") % 25).alias("doc"))
+    docs = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("artifact"), (F.col("l_suppkey") % 25).alias("doc"))
     granted = t.nation.crossJoin(F.broadcast(t.spark.range(5).select(F.col("id").alias("who")))).where("n_regionkey <> who").select(F.col("n_nationkey").alias("doc"), "who")  # 5 rows of callers
     return entitled(docs.withColumn("who", F.col("artifact") % 5), granted, "artifact", ["doc", "who"]).select(F.col("artifact").alias("o_custkey"), "permitted")
 
@@ -125,13 +127,13 @@ def event_windows(t):
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "v")
 
 
-@query("ownership_cards", """WITH h AS (SELECT l_suppkey, l_partkey, last_day(CAST(l_shipdate AS DATE)) AS m, sum(l_quantity) AS shares FROM lineitem WHERE month(l_shipdate) IN (3, 6, 9, 12) AND l_suppkey < 20 GROUP BY 1, 2, 3)
+@query("ownership_cards", """WITH h AS (SELECT l_suppkey, l_partkey, last_day(CAST(l_shipdate AS DATE)) AS m, sum(l_quantity) AS shares FROM lineitem WHERE month(l_shipdate) IN (3, 6, 9, 12) GROUP BY 1, 2, 3)
 SELECT c.l_suppkey, c.l_partkey, c.m AS period, CASE WHEN p.shares > 0 THEN round((c.shares - p.shares) * 100 / p.shares, 4) END AS percent_change FROM h c LEFT JOIN h p
   ON p.l_suppkey = c.l_suppkey AND p.l_partkey = c.l_partkey AND p.m = last_day(CAST(c.m - INTERVAL 3 MONTH AS DATE))""")
 def ownership_cards(t):
     from finlattice.functions.core import percent_change, previous_quarter
 
-    h = t.lineitem.where("month(l_shipdate) IN (3, 6, 9, 12) AND l_suppkey < 20").groupBy("l_suppkey", "l_partkey", F.last_day(F.col("l_shipdate").cast("date")).alias("period")).agg(F.sum("l_quantity").alias("shares"))
+    h = t.lineitem.where("month(l_shipdate) IN (3, 6, 9, 12)").groupBy("l_suppkey", "l_partkey", F.last_day(F.col("l_shipdate").cast("date")).alias("period")).agg(F.sum("l_quantity").alias("shares"))
     prior = h.select("l_suppkey", "l_partkey", F.col("period").alias("before"), F.col("shares").alias("prior"))
     j = h.withColumn("before", previous_quarter("period")).join(prior, ["l_suppkey", "l_partkey", "before"], "left")
     return j.select("l_suppkey", "l_partkey", "period", percent_change(F.col("shares") - F.col("prior"), "shares").alias("percent_change"))

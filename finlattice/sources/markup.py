@@ -74,10 +74,15 @@ def arcs(data: bytes, kind: str) -> list[tuple]:
     """(role, parent, child, order, weight, preferred_label) of the presentation or calculation arcs of a linkbase or schema."""
     out = []
     for link in tree(data).iter(f"{LINK}{kind}Link"):
-        where = {loc.get(f"{XLINK}label"): loc.get(f"{XLINK}href", "").rpartition("#")[2] for loc in link.iter(f"{LINK}loc")}
+        where: dict[str | None, list[str]] = {}  # a label may name several locators: an arc then stands for every pair
+        for loc in link.iter(f"{LINK}loc"):
+            where.setdefault(loc.get(f"{XLINK}label"), []).append(loc.get(f"{XLINK}href", "").rpartition("#")[2])
         for a in link.iter(f"{LINK}{kind}Arc"):
-            if a.get("use") != "prohibited":
-                out.append((link.get(f"{XLINK}role"), where.get(a.get(f"{XLINK}from")), where.get(a.get(f"{XLINK}to")), float(a.get("order", "1")), float(a.get("weight", "1")), a.get("preferredLabel")))
+            if a.get("use") == "prohibited":
+                continue
+            for parent in where.get(a.get(f"{XLINK}from"), [None]):
+                for child in where.get(a.get(f"{XLINK}to"), [None]):
+                    out.append((link.get(f"{XLINK}role"), parent, child, float(a.get("order") or 0), float(a.get("weight", "1")), a.get("preferredLabel")))
     return out
 
 
