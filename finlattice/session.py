@@ -27,6 +27,18 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return builder.config(map=fixed | conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset a temporary one is set on a single machine (tests), and nothing else will do on a cluster."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share: tables written on the way go there")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="finlattice-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's code to the executors once a context, so that Python operators run wherever the driver imported it from."""
     sc = spark.sparkContext

@@ -37,11 +37,11 @@ def fields(line, width: int):
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, log): typed rows of one file, and one row that counts raw, loaded and rejected lines and values that didn't parse (they read as null)."""
+    """(rows, log): typed rows of a file, or of a folder of files that each open with the same header line, and one row that counts raw, loaded and rejected lines and values that didn't parse (they read as null)."""
     lines = decoded(spark, path)
     head = lines.orderBy("at").limit(1).first()
     names = [n.strip().lower() for n in head.line.rstrip("\r").split("\t")] if head else []
-    body = lines.where(F.col("at") != head.at).where(F.trim("line") != "").select(F.regexp_replace("line", r"\r$", "").alias("line")) if head else lines
+    body = lines.where(F.col("line") != head.line).where(F.trim("line") != "").select(F.regexp_replace("line", r"\r$", "").alias("line")) if head else lines
     split = body.withColumn("f", fields(F.col("line"), len(names)))
     good = split.where(F.size("f") <= len(names))
     text = good.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))

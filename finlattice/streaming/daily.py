@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlattice.operators.windows import first_per_key
+from finlattice.session import shared_dir
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="finlattice-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder under spark.checkpoint.dir."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def keyed_stream(spark: SparkSession, source: str, keys: Sequence[str], recency: str, keep: Column, folder: str | None = None, files_per_batch: int = 7) -> DataFrame:
