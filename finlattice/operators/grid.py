@@ -34,6 +34,54 @@ def latest_presentation(cells: DataFrame) -> DataFrame:
         "reason", F.when(later & ~same_unit, "a later filing states it in another unit"))
 
 
+def aligned_keys(rows: DataFrame) -> DataFrame:
+    """line_key as the newest filing labels the concept, for concepts that drift in label alone.
+
+    A concept is aligned if no filing states it twice for a period, all its rows share one taxonomy and one unit (neither missing), and its
+    line keys differ; the newest filing's key, by date and accession, then stands for all. Others keep their own.
+    """
+    concept = Window.partitionBy("cik", "statement", "concept")
+    once = Window.partitionBy("cik", "statement", "concept", "accession", "period_end", "qtrs")
+    r = rows.withColumn("__n", F.count("*").over(once)).withColumn("__sign", F.struct(F.split("taxonomy", "/")[0].alias("t"), F.col("unit").alias("u")))
+    sound = (F.max("__n").over(concept) == 1) & (F.min("__sign").over(concept) == F.max("__sign").over(concept)) & (F.count_if(F.col("taxonomy").isNull() | F.col("unit").isNull()).over(concept) == 0)
+    newest = F.max(F.struct("filed", "accession", "line_key")).over(concept)["line_key"]
+    return r.withColumn("aligned_key", F.when(sound, newest).otherwise(F.col("line_key"))).drop("__n", "__sign")
+
+
+def opening_balances(instants: DataFrame, mode: str = "quarterly") -> DataFrame:
+    """Opening balances that fit a derived period: the closing balance of the period before it.
+
+    instants: closing balances (cik, statement, line_key, fiscal_year, n, value). A quarter opens with the quarter before it, a trailing year
+    (mode ltm) with the same quarter of the year before, or with the last year's end if it ends one itself. Without that period the balance is refused.
+    """
+    keys = ["cik", "statement", "line_key", "fiscal_year", "n"]
+    if mode == "quarterly":
+        year, n = F.when(F.col("n") == 4, F.col("fiscal_year") + 1).otherwise(F.col("fiscal_year")), F.when(F.col("n") == 4, 1).otherwise(F.col("n") + 1)
+    else:
+        year, n = F.col("fiscal_year") + 1, F.col("n")
+    before = instants.select("cik", "statement", "line_key", year.alias("fiscal_year"), n.alias("n"), F.col("value").alias("opening"))
+    j = instants.select(*keys).join(before, keys, "left")
+    return j.select(*keys, "opening", F.when(F.col("opening").isNull(), "the opening balance for this period is unavailable").alias("reason"))
+
+
+def same_basis(originals: DataFrame, comparatives: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, usable, reason): whether last year's figure, as this year's filing restates it for comparison, still is what the original said.
+
+    A trailing year mixes last year's annual total with its year to date; if the later filing changed the latter, no common basis is known.
+    """
+    c = comparatives.select(*keys, F.col(value).alias("__later"))
+    j = originals.select(*keys, F.col(value).alias("__first")).join(c, keys, "full_outer")
+    changed = F.col("__first").isNotNull() & F.col("__later").isNotNull() & (F.col("__first") != F.col("__later"))
+    return j.select(*keys, F.coalesce("__later", "__first").alias(value), F.when(changed, "the later comparative changed").alias("reason"))
+
+
+def formula(sources: Column) -> Column:
+    """A derived cell's sources as a formula: + and - of each filing's value."""
+    sign = lambda s: F.when(s["coefficient"] < 0, " - ").otherwise(" + ")
+    whole = F.array_join(F.transform(sources, lambda s: F.concat(sign(s), s["accession"], F.lit(":"), s["value"].cast("decimal(30,2)").cast("string"))), "")
+    return F.regexp_replace(whole, r"^ \+ ", "")
+
+
 def _source(prefix: str, sign: float) -> Column:
     return F.struct(F.col(f"{prefix}_accession").alias("accession"), F.lit(sign).alias("coefficient"), F.col(f"{prefix}_value").alias("value"))
 
@@ -74,17 +122,26 @@ def quarters(cells: DataFrame) -> DataFrame:
     )
 
 
-def trailing_year(cells: DataFrame) -> DataFrame:
-    """Trailing twelve months: year to date plus the last fiscal year less its own year to date, which must meet to the day."""
+def trailing_year(cells: DataFrame, comparatives: DataFrame | None = None) -> DataFrame:
+    """Trailing twelve months: year to date plus the last fiscal year less its own year to date, which must meet to the day.
+
+    comparatives: last year's year-to-date values as this year's filings show them (the keys of the year they are shown in, value); one that differs from
+    the original refuses the cell, as the two years then have no basis in common.
+    """
     keys = ["cik", "statement", "line_key", "concept", "fiscal_year", "n"]
     to_date = cells.where("duration = n")
     year = to_date.where("n = 4").withColumn("fiscal_year", F.col("fiscal_year") + 1).drop("n")
     now, full = _renamed(to_date, "y", keys), _renamed(year, "f", keys[:-1])
     prior = _renamed(to_date.withColumn("fiscal_year", F.col("fiscal_year") + 1), "p", keys)
     j = now.join(full, keys[:-1], "left").join(prior, keys, "left")
+    changed = F.lit(False)
+    if comparatives is not None:
+        originals = to_date.withColumn("fiscal_year", F.col("fiscal_year") + 1).select(*keys, "value")
+        j = j.join(same_basis(originals, comparatives, keys).select(*keys, F.col("reason").alias("__basis")), keys, "left")
+        changed = F.col("__basis").isNotNull()
     own = F.col("n") == 4
     why = (
-        F.when(F.col("f_value").isNull(), "no fiscal year before it").when(F.col("p_value").isNull(), "no year to date before it")
+        F.when(changed, "the later comparative changed").when(F.col("f_value").isNull(), "no fiscal year before it").when(F.col("p_value").isNull(), "no year to date before it")
         .when(F.datediff("y_start", "f_end") != 1, "the years don't meet").when(~F.col("y_unit").eqNullSafe(F.col("f_unit")) | ~F.col("y_unit").eqNullSafe(F.col("p_unit")), "units differ")
         .otherwise(F.coalesce(refusal("f", "p"), C.additive_reason("statement", "y_unit", "concept", F.lit(1))))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finlattice.plans import derivation, filings, library, lines, quality, search, state  # noqa: F401  each registers its queries
+from finlattice.plans import coverage, derivation, filings, library, lines, quality, search, state  # noqa: F401  each registers its queries
 from finlattice.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

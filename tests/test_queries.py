@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from finlattice.plans.catalog import ORACLE, QUERIES
 
@@ -58,3 +59,23 @@ def test_line_order_merge_has_all_suppliers(spark, con):
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from finlattice.__main__ import main
+
+    assert main(["list"]) == 0 and "universe" in capsys.readouterr().out
+    assert main(["sql", "universe"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["run", "touched_companies", FOLDER, "--out", str(tmp_path / "o")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == QUERIES["touched_companies"](spark, FOLDER).count()
+
+
+def test_fused_top_is_the_top_of_fused(spark):
+    from finlattice.operators import retrieval as R
+
+    rows = [(q, k, float((k * 7919 + q) % 211), float((k * 104729 + q * 3) % 97)) for q in range(3) for k in range(400)]
+    df = spark.createDataFrame(rows, "q long, k long, a double, b double")
+    parts = [df.select("q", "k", F.col(c).alias("score")) for c in ("a", "b")]
+    got = sorted(tuple(r) for r in R.fused_top(parts, "q", "k", 12).collect())
+    whole = sorted((r.q, -r.fused, r.k) for r in R.fused(parts, "q", "k").collect())
+    assert got == sorted((q, k, -f) for q in range(3) for _, f, k in [x for x in whole if x[0] == q][:12])
