@@ -215,3 +215,37 @@ def trailing_year_basis(t):
     shown = c.where("n < 4").select("cik", "statement", "line_key", "concept", (F.col("fiscal_year") + 1).alias("fiscal_year"), "n", F.when(F.col("cik") % 4 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
     out = G.trailing_year(c, shown)
     return out.select(F.col("cik").cast("int").alias("nation"), F.col("fiscal_year").alias("fy"), "n", "status", "reason", G.formula(F.col("sources")).alias("formula"))
+
+
+# As-reported statements: each order a filing, each line number a presented line.
+TAGS = {1: "Revenues", 2: "CostOfSales", 3: "GrossProfit", 4: "ByRegion", 5: "QuarterOnly", 6: "Heading", 7: "Assets"}
+
+
+@query("as_reported_statements", f"""WITH g AS (SELECT l_orderkey AS k, l_linenumber AS n, sum(l_quantity) AS q, any_value(make_date(year(o_orderdate), 12, 31)) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+r AS (SELECT k, n, CAST(NULL AS VARCHAR) AS segments, p AS e, 4 AS qtrs, q AS v, p AS own FROM g WHERE n <= 3 UNION ALL SELECT k, n, NULL, CAST(p - INTERVAL 1 YEAR AS DATE), 4, q / 2, p FROM g WHERE n <= 2
+  UNION ALL SELECT k, n, 'Seg=A;', p, 4, q * 0.25, p FROM g WHERE n = 4 UNION ALL SELECT k, n, 'Seg=B;', p, 4, q * 0.75, p FROM g WHERE n = 4 UNION ALL SELECT k, n, NULL, NULL, NULL, NULL, p FROM g WHERE n IN (5, 6)
+  UNION ALL SELECT k, n, NULL, p, 0, q, p FROM g WHERE n = 7 UNION ALL SELECT k, n, NULL, CAST(p - INTERVAL 1 YEAR AS DATE), 0, q / 2, p FROM g WHERE n = 7),
+s AS (SELECT *, CASE n {" ".join(f"WHEN {k} THEN '{v}'" for k, v in TAGS.items())} END AS concept, CASE WHEN n = 7 THEN 'BS' ELSE 'IS' END AS statement FROM r),
+d AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY k, statement ORDER BY n, segments NULLS FIRST) AS INTEGER) AS line_order FROM s)
+SELECT CAST(k AS VARCHAR) AS accession, statement, line_order, concept, segments, e AS period_end_rounded, coalesce(CAST(qtrs AS VARCHAR), '') AS qtrs, v AS value, CASE WHEN n = 2 THEN -v ELSE v END AS value_presented, e IS NULL OR e = own AS is_primary_period,
+  (SELECT arg_min(x.concept, x.line_order) FROM d x WHERE x.k = d.k AND x.statement = d.statement AND x.line_order > d.line_order AND x.n IN (1, 3, 7)) AS parent_concept FROM d""")
+def as_reported_statements(t):
+    from finlattice.operators.statements import build_statements
+
+    version, end = F.lit("us-gaap/2024"), F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
+    g = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.min(end).alias("p"))
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), F.col("l_linenumber"))
+    g = g.select(F.col("l_orderkey").cast("string").alias("adsh"), F.col("l_linenumber").alias("line"), name.alias("tag"), version.alias("version"), "q", "p")
+    sub = t.orders.select(F.col("o_orderkey").cast("string").alias("adsh"), F.col("o_custkey").alias("cik"), F.lit("10-K").alias("form"), end.alias("period"), F.lit("FY").alias("fp"), day().alias("filed"))
+    pre = g.select("adsh", F.lit(2).alias("report"), "line", F.when(F.col("line") == 7, "BS").otherwise("IS").alias("stmt"), F.lit(0).alias("inpth"), "tag", "version", F.col("tag").alias("plabel"), (F.col("line") == 2).cast("int").alias("negating"))
+    tags = t.spark.createDataFrame([(v, "us-gaap/2024", 0, int(k == 6), "monetary", "I" if k == 7 else "D", "C", v) for k, v in TAGS.items()], "tag string, version string, custom int, abstract int, datatype string, iord string, crdr string, tlabel string")
+    fact = lambda at, qtrs, value, unit="USD", segments=None: F.struct(at.alias("ddate"), F.lit(qtrs).alias("qtrs"), F.lit(unit).alias("uom"), F.lit(segments).cast("string").alias("segments"), value.cast("double").alias("value"))
+    q, now, before, n = F.col("q"), F.col("p"), F.add_months("p", -12), F.col("line")
+    values = (  # totals, comparatives, quarters that no annual report states as its own, another currency, breakdowns beside a total and alone
+        F.when(n == 1, F.array(fact(now, 4, q), fact(before, 4, q / 2), fact(now, 1, q / 4))).when(n == 2, F.array(fact(now, 4, q), fact(before, 4, q / 2), fact(now, 4, q * 2, "EUR")))
+        .when(n == 3, F.array(fact(now, 4, q), fact(now, 4, q / 4, segments="Seg=A;"))).when(n == 4, F.array(fact(now, 4, q * 0.25, segments="Seg=A;"), fact(now, 4, q * 0.75, segments="Seg=B;")))
+        .when(n == 5, F.array(fact(now, 1, q))).when(n == 7, F.array(fact(now, 0, q), fact(before, 0, q / 2)))
+    )
+    num = g.select("adsh", "tag", "version", F.lit(None).cast("string").alias("coreg"), F.explode(values).alias("v")).select("adsh", "tag", "version", "coreg", "v.*")
+    out = build_statements(sub, num, pre, tags)
+    return out.select("accession", "statement", F.col("line_order").cast("int").alias("line_order"), "concept", "segments", "period_end_rounded", F.coalesce(F.col("qtrs").cast("string"), F.lit("")).alias("qtrs"), "value", "value_presented", "is_primary_period", "parent_concept")
