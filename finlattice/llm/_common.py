@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finlattice.session import ship_package
+from finlattice.session import shared_dir, ship_package
 
 #: Largest stretch of text, in bytes, that one vectorised step works on (scratch memory is about 60 times that).
 CHUNK_BYTES = 2 << 20
@@ -36,19 +35,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset a temporary one is set on a single machine (tests), and nothing else will do on a cluster."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share: tables written on the way go there")
-        folder = tempfile.mkdtemp(prefix="finlattice-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 _MADE: ContextVar[list[str] | None] = ContextVar("tables made on the way", default=None)
 
 
