@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embeddings": embedding_dedup.op9_embeddings,
     "op10_simhash": simhash_dedup.op10_simhash,
 }
-ORACLE = {"op6_chat": chat_format.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_embeddings": embedding_dedup.OP9_SQL}
+ORACLE = {"op1_suffix_dedup": suffix_dedup.OP1_SQL, "op3_substring_dedup": substring_dedup.OP3_SQL, "op6_chat": chat_format.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_embeddings": embedding_dedup.OP9_SQL}

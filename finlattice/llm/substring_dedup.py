@@ -313,3 +313,13 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CAST(i AS BIGINT) AS i, array_to_string(w[i : i + 19], ' ') AS s FROM n, unnest(range(1, len(w) - 18)) AS t(i)), f AS (SELECT s, min({'d': doc_id, 'i': i}) AS least FROM g GROUP BY s),
+r AS (SELECT doc_id, i FROM g JOIN f USING (s) WHERE {'d': doc_id, 'i': i} > least),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM r, unnest(range(0, 20)) AS t(j)), words AS (SELECT doc_id, CAST(generate_subscripts(w, 1) AS BIGINT) AS pos, unnest(w) AS word FROM n),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS k FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)
+"""

@@ -470,3 +470,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM n, unnest(range(0, n - 49)) AS t(i)), f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > least),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS apart FROM r),
+k AS (SELECT doc_id, i, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g), spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, k),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans UNION ALL SELECT doc_id, coalesce(b, 0), n FROM n LEFT JOIN (SELECT doc_id, max(b) AS b FROM spans GROUP BY doc_id) USING (doc_id)),
+o AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM p JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM n JOIN o USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS m, count(*) AS c FROM spans GROUP BY doc_id) USING (doc_id)
+"""

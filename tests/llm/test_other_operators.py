@@ -228,7 +228,7 @@ def test_tables_on_the_way_are_removed(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
-@pytest.mark.parametrize("name", ["op6_chat", "op7_exact_dedup", "op9_embeddings"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_substring_dedup", "op6_chat", "op7_exact_dedup", "op9_embeddings"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
@@ -243,3 +243,61 @@ def test_queries_match_sql(spark, name):
     rows = sorted(map(repr, (tuple(r[c] for c in got.columns) for r in got.collect())))
     order = [want.columns.index(c) for c in got.columns]
     assert rows == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+
+
+def registered(spark, name, *columns):
+    from finlattice.llm import registry
+
+    return sorted(tuple(r) for r in registry.QUERIES[name](spark, SMALL).select(*columns).collect())
+
+
+def test_registered_passages_over_a_whole_table(spark, whole):
+    assert registered(spark, "op1_suffix_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.byte_repeats(whole))
+    assert registered(spark, "op3_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.word_repeats(whole))
+
+
+def test_registered_tokens_over_a_whole_table(spark, whole):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    words, pieces = (Tokenizer.from_file(public_tokenizers.path(f)) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    want = []
+    for i, t in whole:
+        ids = words.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(words.decode(ids, skip_special_tokens=False))))
+    assert registered(spark, "op4_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want)
+    ids = {i: np.array([*pieces.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in whole}
+    got = registered(spark, "op5_packing", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    reach: dict = {}
+    for i, start, n, crc, total, _, _ in got:
+        assert start == reach.get(i, 0) and crc == zlib.crc32(ids[i][start : start + n].tobytes()) and total == len(ids[i])
+        reach[i] = start + n
+    assert reach == {i: len(x) for i, x in ids.items()}
+    filled: dict = {}
+    for *_, n, _, _, s, at in sorted(got, key=lambda p: (p[5], p[6])):
+        assert at == filled.get(s, 0)
+        filled[s] = at + n
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in filled.values())
+
+
+def test_registered_secrets_and_fingerprints_over_a_whole_table(spark, whole):
+    names = ("assign", "access", "hex")
+    want = []
+    for i, t in whole:
+        found = brute.secrets(t)
+        want.append((i, *(sum(k == n for _, k, _ in found) for n in range(3)), brute.sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in found))))
+    assert registered(spark, "op8_secrets", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want)
+    fp = {i: brute.simhash(t) for i, t in whole}
+    of = brute.classes(set(fp.values()), lambda a, b: (a ^ b).bit_count() <= 3)
+    low: dict = {}
+    for i, f in fp.items():
+        low[of[f]] = min(i, low.get(of[f], i))
+    assert registered(spark, "op10_simhash", "doc_id", "fingerprint", "component_id") == sorted((i, f"{f:016x}", low[of[f]]) for i, f in fp.items())
