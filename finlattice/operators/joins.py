@@ -21,11 +21,11 @@ def first_match_within(left: DataFrame, right: DataFrame, on: str, at: str, othe
     return left.select(*keep).join(best, list(keep), "left").select(*keep, F.col("__m.__at").alias("matched_at"), F.col("__m.__id").alias("matched_id"))
 
 
-def next_anchor(rows: DataFrame, anchors: DataFrame, on: str, at: Column, anchor_at: Column, keep: Sequence[str], anchor: str = "anchor") -> DataFrame:
-    """Forward as-of: the first anchor of the key at or after `at`. One sort of both sides together; no pair is formed."""
-    r = rows.select(F.col(on), at.alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("date").alias("__anchor"), *keep)
-    a = anchors.select(F.col(on), anchor_at.alias("__at"), F.lit(1).alias("__kind"), anchor_at.alias("__anchor")).distinct()
-    w = Window.partitionBy(on).orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
+def next_anchor(rows: DataFrame, anchors: DataFrame, on: str, at: Column, anchor_at: Column, keep: Sequence[str], anchor: str = "anchor", carried: Column | None = None) -> DataFrame:
+    """Forward as-of: the first anchor of the key at or after `at`, or what it carries (the least of one time). One sort of both sides together; no pair is formed."""
+    r = rows.select(F.col(on), at.alias("__at"), F.lit(0).alias("__kind"), *keep)
+    a = anchors.select(F.col(on), anchor_at.alias("__at"), F.lit(1).alias("__kind"), (anchor_at if carried is None else carried).alias("__anchor")).distinct()
+    w = Window.partitionBy(on).orderBy("__at", "__kind", "__anchor").rowsBetween(0, Window.unboundedFollowing)
     both = r.unionByName(a, allowMissingColumns=True).withColumn(anchor, F.first("__anchor", ignorenulls=True).over(w))
     return both.where("__kind = 0").select(on, *keep, anchor)
 

@@ -55,9 +55,11 @@ def period_spine(filings: DataFrame, companies: DataFrame) -> DataFrame:
     )
     release = filings.where((C.base_form("form") == "8-K") & F.exists("items", lambda i: i == "2.02")).select("cik", F.col("accession").alias("earnings_release_accession"), F.col("filed_date").alias("earnings_release_filed_date"))
     window = F.when(F.col("fiscal_quarter") == 4, 90).otherwise(60)
-    near = p.join(release, "cik").where((F.col("earnings_release_filed_date") > F.col("period_end")) & (F.col("earnings_release_filed_date") <= F.date_add("period_end", window)))
-    first = near.groupBy("cik", "period_label").agg(F.min(F.struct("earnings_release_filed_date", "earnings_release_accession")).alias("r")).select("cik", "period_label", "r.*")
-    return p.join(first, ["cik", "period_label"], "left")
+    found = F.struct("earnings_release_filed_date", "earnings_release_accession")
+    p = next_anchor(p, release, "cik", F.date_add("period_end", 1), F.col("earnings_release_filed_date"), [c for c in p.columns if c != "cik"], "__release", found)
+    near = F.col("__release.earnings_release_filed_date") <= F.date_add("period_end", window)
+    release = F.when(near, F.col("__release"))
+    return p.select(*(c for c in p.columns if c != "__release"), *(release[c].alias(c) for c in ("earnings_release_filed_date", "earnings_release_accession")))
 
 
 def finalize_facts(facts: DataFrame) -> DataFrame:

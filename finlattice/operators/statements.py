@@ -94,18 +94,53 @@ def build_statements(sub: DataFrame, num: DataFrame, pre: DataFrame, tag: DataFr
     return j.withColumn("period_start", F.coalesce("period_start", inferred)).withColumn("period_end", F.coalesce("period_end", "period_end_rounded"))
 
 
+# Beginnings of concepts that say which statement they belong to, fixed values.
+COMPREHENSIVE = ("OtherComprehensiveIncome", "ComprehensiveIncome")
+EQUITY = ("StockIssuedDuringPeriod", "StockRepurchasedDuringPeriod", "StockRepurchasedAndRetired", "TreasuryStockValueAcquired", "Dividends", "AdjustmentsToAdditionalPaidInCapital", "StockholdersEquityOther", "CumulativeEffectOfNewAccountingPrinciple")
+CASH_FLOW = (
+    "NetCashProvidedByUsedIn", "PaymentsTo", "PaymentsFor", "PaymentsOf", "ProceedsFrom", "RepaymentsOf", "IncreaseDecreaseIn", "CashAndCashEquivalentsPeriodIncreaseDecrease", "CashCashEquivalentsRestrictedCash", "EffectOfExchangeRate",
+    "ShareBasedCompensation", "DepreciationDepletionAndAmortization", "DepreciationAndAmortization", "DeferredIncomeTaxExpenseBenefit", "OtherNoncash", "IncomeTaxesPaid", "InterestPaid", "GainLossOnSaleOf", "GainLossOnDisposition",
+)
+
+
+def statement_of(concept: str, instant: Column) -> Column:
+    """The statement that a concept without a presented line is put on: by how its name begins, else the balance sheet for instants and the income statement for the rest."""
+    begins = lambda names: F.col(concept).rlike("^(" + "|".join(names) + ")")
+    return (
+        F.when((F.col(concept) == "DepreciationDepletionAndAmortization") & ~instant, "IS").when(begins(COMPREHENSIVE), "CI").when(begins(EQUITY), "EQ")
+        .when(begins(CASH_FLOW), "CF").when(instant, "BS").otherwise("IS")
+    )
+
+
 def provisional(template: DataFrame, filing: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of a filing that the data sets don't have yet: the lines of its company's last filing of the family, with this filing's own facts.
 
-    template: statement rows of earlier filings; filing: (cik, accession, form, filed_date, report_date). Facts that no line asks for are left out.
+    template: statement rows of earlier filings; filing: (cik, accession, form, filed_date, report_date). Where a statement shows a concept on several
+    lines, as opening and closing balances, its instants go to them in order of time, the newest to the last line. Facts of the filing's period whose concept no line
+    asks for follow at the end of the statement that statement_of() names; nothing that was filed is left out.
     """
     f = filing.withColumn("family", C.form_family("form"))
-    earlier = template.withColumn("family", C.form_family("form")).where("is_primary_period").select("cik", "family", F.col("accession").alias("from"), F.col("filed_date").alias("from_date"), "statement", "report", "line", "line_order", "is_parenthetical", "concept", "taxonomy", "segments", "label", "negating", "is_abstract", "is_subtotal", "parent_concept", "iord", "datatype")
+    line = ["family", "statement", "report", "line", "line_order", "is_parenthetical", "concept", "taxonomy", "segments", "label", "negating", "is_abstract", "is_subtotal", "parent_concept", "iord", "datatype"]
+    earlier = template.withColumn("family", C.form_family("form")).where("is_primary_period").select("cik", F.col("accession").alias("from"), F.col("filed_date").alias("from_date"), *line)
     pairs = f.join(earlier.select("cik", "family", "from", "from_date").distinct(), ["cik", "family"]).where("from_date < filed_date")
     last = first_per_key(pairs, ["cik", "accession"], [F.desc("from_date"), F.desc("from")])
     shape = last.join(earlier.drop("from_date"), ["cik", "family", "from"])
-    own = facts.select("cik", "accession", "concept", "unit", "period_start", "period_end", "value", C.quarters_estimate("period_start", "period_end").alias("qtrs"))
+    key = ["cik", "accession", "concept"]
+    own = facts.select(*key, "unit", "period_start", "period_end", "value", C.quarters_estimate("period_start", "period_end").alias("qtrs"))
+    instants = own.where("qtrs = 0").withColumn("nth", F.dense_rank().over(Window.partitionBy(*key).orderBy("period_end")))
+    instants = instants.withColumn("instants", F.max("nth").over(Window.partitionBy(*key)))
+    group = ["cik", "accession", "statement", "is_parenthetical", "concept"]
+    shape = shape.withColumn("lines", F.count("*").over(Window.partitionBy(*group))).withColumn("seen", F.row_number().over(Window.partitionBy(*group).orderBy("line_order")))
+    shape = shape.join(instants.select(*key, "instants").distinct(), key, "left")
+    several = (F.col("lines") > 1) & ~F.col("is_abstract") & (F.coalesce("instants", F.lit(0)) >= F.col("lines"))
     quarters = F.when(F.col("family") == "annual", 4).otherwise(1)
     at = (C.month_end_round("period_end") == C.month_end_round("report_date")) & ((F.col("qtrs") == 0) | (F.col("qtrs") == quarters))
-    j = shape.join(own, ["cik", "accession", "concept"], "left").where(F.col("value").isNull() | at)
-    return j.withColumn("value_presented", C.presented("value", "negating")).withColumn("is_primary_period", F.lit(True)).withColumn("source", F.lit("provisional")).drop("from", "from_date", "family", "report_date")
+    paired_lines = shape.where(several).drop("instants").join(instants, key).where(F.col("nth") == F.col("instants") - F.col("lines") + F.col("seen")).drop("nth", "instants")
+    plain = shape.where(~several).drop("instants").join(own, key, "left").where(F.col("value").isNull() | at)
+    extras = own.join(last.join(f.select("cik", "accession"), ["cik", "accession"]), ["cik", "accession"]).where(at).join(shape.select(*key).distinct(), key, "left_anti")
+    extras = extras.withColumn("statement", statement_of("concept", F.col("qtrs") == 0))
+    after = shape.where("NOT is_parenthetical").groupBy("cik", "accession", "statement").agg(F.max("line_order").alias("__end"))
+    extras = extras.join(after, ["cik", "accession", "statement"], "left").withColumn("line_order", F.coalesce("__end", F.lit(0)) + F.dense_rank().over(Window.partitionBy("cik", "accession", "statement").orderBy("concept")))
+    extras = extras.select("*", F.lit(False).alias("is_parenthetical"), F.col("concept").alias("label"), F.lit(False).alias("negating"), F.lit(False).alias("is_abstract")).drop("__end", "from_date")
+    j = paired_lines.unionByName(plain).drop("lines", "seen", "from_date").unionByName(extras, allowMissingColumns=True)
+    return j.withColumn("value_presented", C.presented("value", "negating")).withColumn("is_primary_period", F.lit(True)).withColumn("source", F.lit("provisional")).drop("from", "family", "report_date")

@@ -249,3 +249,16 @@ def as_reported_statements(t):
     num = g.select("adsh", "tag", "version", F.lit(None).cast("string").alias("coreg"), F.explode(values).alias("v")).select("adsh", "tag", "version", "coreg", "v.*")
     out = build_statements(sub, num, pre, tags)
     return out.select("accession", "statement", F.col("line_order").cast("int").alias("line_order"), "concept", "segments", "period_end_rounded", F.coalesce(F.col("qtrs").cast("string"), F.lit("")).alias("qtrs"), "value", "value_presented", "is_primary_period", "parent_concept")
+
+
+CONCEPTS = ("DepreciationDepletionAndAmortization", "OtherComprehensiveIncomeX", "DividendsPaid", "PaymentsToSuppliers", "Inventory", "InterestPaidNet", "Revenues")
+
+
+@query("concept_classes", f"""WITH c AS (SELECT CASE l_linenumber {" ".join(f"WHEN {k + 1} THEN '{c}'" for k, c in enumerate(CONCEPTS))} END AS concept, l_linestatus = 'O' AS instant FROM lineitem)
+SELECT concept, instant, CASE WHEN concept LIKE 'Depreciation%' THEN CASE WHEN instant THEN 'CF' ELSE 'IS' END WHEN concept LIKE 'Other%' THEN 'CI' WHEN concept LIKE 'Dividends%' THEN 'EQ' WHEN concept LIKE 'Payments%' OR concept LIKE 'InterestPaid%' THEN 'CF' WHEN instant THEN 'BS' ELSE 'IS' END AS statement, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+def concept_classes(t):
+    from finlattice.operators.statements import statement_of
+
+    concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), F.col("l_linenumber"))
+    c = t.lineitem.select(concept.alias("concept"), (F.col("l_linestatus") == "O").alias("instant"))
+    return c.withColumn("statement", statement_of("concept", F.col("instant"))).groupBy("concept", "instant", "statement").agg(F.count("*").alias("n"))

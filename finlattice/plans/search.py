@@ -120,12 +120,12 @@ def html_to_text(t):
 
 
 @query("snippets", """SELECT doc_id, pos, CASE WHEN pos > 0 THEN substr(text, CAST(greatest(1, pos - 120) AS BIGINT), CAST(pos - greatest(1, pos - 120) + 260 AS BIGINT)) ELSE substr(text, 1, 380) END AS snippet
-FROM (SELECT doc_id, text, CAST(instr(lower(text), 'password') AS INTEGER) AS pos FROM documents WHERE contains(lower(text), 'password'))""")
+FROM (SELECT doc_id, text, CAST(instr(lower(text), 'licensed') AS INTEGER) AS pos FROM documents WHERE contains(lower(text), 'licensed'))""")
 def snippets(t):
     from finlattice.functions.core import snippet
 
-    d = t.documents.where(F.contains(F.lower("text"), F.lit("password")))
-    return d.select("doc_id", F.instr(F.lower("text"), "password").alias("pos"), snippet("text", F.lit("password")).alias("snippet"))
+    d = t.documents.where(F.contains(F.lower("text"), F.lit("licensed")))
+    return d.select("doc_id", F.instr(F.lower("text"), "licensed").alias("pos"), snippet("text", F.lit("licensed")).alias("snippet"))
 
 
 @query("index_coverage", """SELECT lang, count(*) FILTER (WHERE n_chars >= 1000) AS indexed, count(*) FILTER (WHERE n_chars < 1000 AND n_chars >= 100) AS pending, count(*) FILTER (WHERE n_chars < 100) AS failed, count(*) FILTER (WHERE n_chars < 1000) > 0 AS partial FROM documents GROUP BY 1""")

@@ -145,7 +145,20 @@ def test_provisional_follows_the_last_filing(spark):
     filing = spark.createDataFrame([(1, "new", "10-K", D(2025, 11, 1), D(2025, 9, 27))], "cik long, accession string, form string, filed_date date, report_date date")
     facts = spark.createDataFrame([(1, "new", "Revenues", "USD", D(2024, 9, 29), D(2025, 9, 27), 70.0), (1, "new", "Revenues", "USD", D(2025, 6, 29), D(2025, 9, 27), 20.0), (1, "new", "Other", "USD", None, D(2025, 9, 27), 1.0)], "cik long, accession string, concept string, unit string, period_start date, period_end date, value double")
     got = {r.concept: r.value for r in statements.provisional(rows, filing, facts).collect()}
-    assert got["Revenues"] == 70.0 and got["GrossProfit"] is None and "Other" not in got
+    assert got["Revenues"] == 70.0 and got["GrossProfit"] is None and got["Other"] == 1.0
+
+
+def test_provisional_places_extras_and_pairs_balances(spark):
+    rows = statements.build_statements(*quarter_tables(spark))
+    filing = spark.createDataFrame([(1, "new", "10-K", D(2025, 11, 1), D(2025, 9, 27))], "cik long, accession string, form string, filed_date date, report_date date")
+    fact = [("Cash", None, D(2023, 9, 30), 5.0), ("Cash", None, D(2024, 9, 28), 6.0), ("Cash", None, D(2025, 9, 27), 7.0), ("ProceedsFromLoans", D(2024, 9, 29), D(2025, 9, 27), 3.0), ("OddAsset", None, D(2025, 9, 27), 4.0), ("OddAsset", None, D(2024, 9, 28), 2.0), ("OtherComprehensiveIncomeX", D(2024, 9, 29), D(2025, 9, 27), 8.0)]
+    facts = spark.createDataFrame([(1, "new", c, "USD", a, b, v) for c, a, b, v in fact], "cik long, accession string, concept string, unit string, period_start date, period_end date, value double")
+    got = statements.provisional(rows, filing, facts).collect()
+    cash = sorted((r.line_order, r.value) for r in got if r.concept == "Cash")
+    assert [v for _, v in cash] == [6.0, 7.0]  # the opening line takes the older of the last two balances
+    extra = {r.concept: r for r in got if r.concept in ("ProceedsFromLoans", "OddAsset", "OtherComprehensiveIncomeX")}
+    assert {c: (r.statement, r.value) for c, r in extra.items()} == {"ProceedsFromLoans": ("CF", 3.0), "OddAsset": ("BS", 4.0), "OtherComprehensiveIncomeX": ("CI", 8.0)}
+    assert all(r.line_order > max((x.line_order for x in got if x.statement == r.statement and x.concept not in extra), default=0) for r in extra.values())
 
 
 def cells(spark, *rows):
