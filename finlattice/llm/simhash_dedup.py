@@ -15,6 +15,8 @@ SEED = 42
 THRESHOLD = 3
 #: Edges that a task holds before they are reduced to stars.
 EDGE_BLOCK = 1 << 20
+#: Fingerprints under an anchor from which on they are told apart by blocks of their other half.
+CROWD = 64
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
@@ -76,9 +78,33 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
+def narrowed(key: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(finer key, fp), sorted: what has to be compared under each anchor (key sorted).
+
+    Under an anchor that more than CROWD fingerprints meet at, the other half of a fingerprint is cut into threshold + 1 blocks. Two
+    fingerprints that differ in at most threshold bits agree in one of them, so only those that share a block's place and value meet.
+    """
+    count = np.diff(np.append(first := np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key)))
+    crowded = np.repeat(count > CROWD, count)
+    wide = key.astype(np.uint64) << np.uint64(32)
+    keys, fps = [wide[~crowded]], [fp[~crowded]]
+    if crowded.any():
+        other = fp[crowded] >> np.where(key[crowded] >> np.uint32(31), 0, 32).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        edge = np.linspace(0, 32, threshold + 2).astype(int).tolist()
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            block = other >> np.uint64(x) & np.uint64((1 << y - x) - 1)
+            # A place from 1 on keeps these apart from one another and from anchors that aren't crowded.
+            keys.append(wide[crowded] | np.uint64(x + 1) << np.uint64(26) | block & np.uint64((1 << 26) - 1))
+            fps.append(fp[crowded])
+    key, fp = np.concatenate(keys), np.concatenate(fps)
+    order = np.lexsort((fp, key))
+    return key[order], fp[order]
+
+
 def close_pairs(key: np.ndarray, fp: np.ndarray, threshold: int):
-    """Star edges (node, root) among fingerprints that share a key and differ in at most threshold bits; fp sorted within sorted keys."""
+    """Star edges (node, root) among fingerprints that share a key and differ in at most threshold bits; key sorted."""
     held, size = [], 0
+    key, fp = narrowed(key, fp, threshold)
     live = np.arange(len(key))
     step = 1
     while True:

@@ -288,6 +288,25 @@ def test_anchors_meet_every_pair_within_three_bits():
         assert keys[0] & keys[1]
 
 
+def test_crowded_anchors_lose_no_pair(monkeypatch):
+    r = random.Random(6)
+    base = [r.getrandbits(32) for _ in range(40)]
+    fps = {b | r.getrandbits(26) << 32 for b in base for _ in range(20)}
+    for f in list(fps)[:400]:  # near copies of both kinds
+        for bit in r.sample(range(64), r.randrange(1, 4)):
+            f ^= 1 << bit
+        fps.add(f)
+    fp = np.array(sorted(fps), np.uint64)
+    index, key = simhash_dedup.anchors(fp)
+    order = np.argsort(key, kind="stable")
+    want = brute.classes(fp.tolist(), lambda a, b: (a ^ b).bit_count() <= 3)
+    for crowd in (0, 3, 10**9):
+        monkeypatch.setattr(simhash_dedup, "CROWD", crowd)
+        edges = [(a, b) for x, y in simhash_dedup.close_pairs(key[order].astype(np.uint32), fp[index][order], 3) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        nodes, roots = simhash_dedup.stars(*(np.array(c, np.uint64) for c in zip(*edges, strict=True)))
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) | {f: f for f in fp.tolist() if f not in set(nodes.tolist())} == want
+
+
 def test_bpe_matches_library_and_round_trips(docs, rows, spark):
     import public_tokenizers
     from tokenizers import Tokenizer
