@@ -106,10 +106,9 @@ def test_diversified_topk_on_odd_vectors(spark, tmp_path, monkeypatch):
     from finlattice.operators import nearest
 
     c = odd_vectors(spark, str(tmp_path))
-    for side, block, strip in ((8192, 4096, 128), (40, 3, 2)):
+    for side, block in ((8192, 4096), (40, 3)):
         monkeypatch.setattr(nearest, "SIDE", side)
         monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
-        monkeypatch.setattr(nearest, "STRIP", strip)
         got = QUERIES["diversified_topk"](spark, str(tmp_path)).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, c.sql(ORACLE["diversified_topk"]).fetchall()))
 
@@ -131,3 +130,21 @@ def test_scores_near_the_middle_of_two_steps():
     norm = np.sqrt(nearest.dots(x, x))
     i, j = np.divmod(np.arange(2500), 50)
     assert (nearest.steps(x, x).ravel() == nearest.rounded(nearest.dots(x[i], x[j]) / norm[i] / norm[j])).all()
+
+
+def test_rrf_fusion_on_odd_vectors_and_repeated_ids(spark, tmp_path, monkeypatch):
+    from finlattice.operators import nearest
+
+    once, twice = str(tmp_path / "once"), str(tmp_path / "twice")
+    c = odd_vectors(spark, once)
+    want = c.sql(ORACLE["rrf_fusion"]).fetchall()
+    v = spark.read.parquet(f"{once}/embeddings.parquet").where("vec_id < 1000 OR vec_id IS NULL")
+    moved = v.where("vec_id % 3 = 0").withColumn("vec_id", (F.col("vec_id") / 9).cast("long"))  # other vectors and labels under ids that are there, queries too
+    v.unionByName(v.where("vec_id % 50 = 0")).unionByName(moved).write.parquet(f"{twice}/embeddings.parquet")
+    c.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{twice}/embeddings.parquet/*.parquet'")
+    for folder, rows in ((once, want), (twice, c.sql(ORACLE["rrf_fusion"]).fetchall())):
+        for side, block in ((8192, 4096), (40, 3)):
+            monkeypatch.setattr(nearest, "SIDE", side)
+            monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
+            got = QUERIES["rrf_fusion"](spark, folder).collect()
+            assert sorted((q, v, round(f, 8)) for q, v, f in got) == sorted((q, v, round(f, 8)) for q, v, f in rows)
